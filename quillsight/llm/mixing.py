@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most_ep
         .withColumn("open", F.sum("weight").over(Window.partitionBy()) - (F.sum("weight").over(by_ratio) - F.col("weight")))
         .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open"))
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(Window.partitionBy())
+    first = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))
+    level = F.min(first).over(Window.partitionBy()).level
     return rows.withColumn("at", level).select("source", "source_size", F.least("cap", F.col("at") * F.col("weight")).alias("target"))
 
 
@@ -99,7 +100,7 @@ levels AS (
     FROM weighed WINDOW w AS (ORDER BY cap / weight, place))),
 targets AS (
   SELECT source, source_size,
-         coalesce(least(cap, (SELECT min(level) FROM levels WHERE level <= ratio) * weight), 0.0::DOUBLE) AS target
+         coalesce(least(cap, (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, place LIMIT 1) * weight), 0.0::DOUBLE) AS target
   FROM levels),
 epochs AS (
   SELECT *, CAST(floor(target) AS BIGINT) AS budget,
