@@ -66,13 +66,15 @@ def limit_requests(events: DataFrame, limit: int = 60, window_seconds: float = 6
 STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("used", T.LongType())])
 
 
-def limit_requests_stream(events: DataFrame, limit: int = 60, window_seconds: float = 60.0) -> DataFrame:
-    """The same for a stream, with the open window of each client as keyed state; it is dropped when it has run out unused.
+def limit_requests_stream(events: DataFrame, limit: int = 60, window_seconds: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """The same for a stream, with the open window of each client as keyed state.
 
-    Within a micro-batch requests are put in order of time; a request older than its client's window counts in that window.
+    A client's state is dropped once the watermark (`late` behind the newest request) has passed its window, when a next request would open a
+    new one anyway. Within a micro-batch requests are put in order of time; one older than its client's window counts in that window.
     """
     window = int(window_seconds * 1e6)
-    keyed = events.select(F.col("client").cast("string").alias("client"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    keyed = events.select(F.col("client").cast("string").alias("client"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    keyed = keyed.withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -83,7 +85,7 @@ def limit_requests_stream(events: DataFrame, limit: int = 60, window_seconds: fl
         micros = rows["micros"].to_numpy()
         starts, places, start, used = _decide(micros, limit, window, start, used)
         state.update((start, used))
-        state.setTimeoutDuration(max(1, int(2 * window_seconds * 1000)))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (start + window) // 1000 + 1))
         yield _frame(key[0], rows["event_id"].to_numpy(), micros, starts, places, limit)
 
-    return keyed.groupBy("client").applyInPandasWithState(decide, DECISIONS, STATE, "append", "ProcessingTimeTimeout")
+    return keyed.groupBy("client").applyInPandasWithState(decide, DECISIONS, STATE, "append", "EventTimeTimeout")
