@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ALNUM, Members, shingle_hashes, text_runs, words_in
+from .common import ALNUM, Members, text_runs, words_in
 
 BLOCKS = 8
 _BLOCK_VALUES = np.arange(256, dtype=np.uint8)
@@ -26,6 +26,16 @@ def _shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _weights(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A shingle weighs as much as it has different words, so that repeated words count little."""
+    k = min(k, len(hashes))
+    n = len(hashes) - k + 1
+    out = np.ones(n)
+    for j in range(1, k):
+        out += np.logical_and.reduce([hashes[j : j + n] != hashes[i : i + n] for i in range(j)])
+    return out
+
+
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of the 64 bits of each shingle."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -38,15 +48,15 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
-def weighted_similarity(a: Counter, b: Counter, weight) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles."""
-    both = sum(min(n, b[s]) * weight(s) for s, n in a.items() if s in b)
-    return both / (sum(n * weight(s) for s, n in a.items()) + sum(n * weight(s) for s, n in b.items()) - both)
+def weighted_similarity(a: Counter, a_weights: dict[int, float], b: Counter, b_weights: dict[int, float]) -> float:
+    """Weighted Jaccard similarity of two multisets of shingles; a shingle in both has one weight."""
+    both = sum(min(n, b[s]) * a_weights[s] for s, n in a.items() if s in b)
+    return both / (sum(n * a_weights[s] for s, n in a.items()) + sum(n * b_weights[s] for s, n in b.items()) - both)
 
 
 @dataclass
 class BenchmarkIndex:
-    """Items by length, with SimHash blocks. Weights are the shingles' rarity among all items."""
+    """Items by length, with SimHash blocks."""
 
     items: list[tuple[int, bytes]]
     k: int = 5
@@ -60,9 +70,10 @@ class BenchmarkIndex:
             raw = np.frombuffer(text, dtype=np.uint8)
             self.words.append(words_in(raw, np.array([0, len(raw)]), ALNUM).hash)
         self.shingles = [Counter(_shingles(w, self.k).tolist()) if len(w) else Counter() for w in self.words]
-        spread = Counter(s for own in self.shingles for s in own)
-        self.most = float(np.log1p(len(self.items)))
-        self.weights = {s: float(np.log1p(len(self.items) / n)) for s, n in spread.items()}
+        self.weights: dict[int, float] = {}
+        for w in self.words:
+            if len(w):
+                self.weights.update(zip(_shingles(w, self.k).tolist(), _weights(w, self.k).tolist(), strict=True))
         self.totals = [sum(n * self.weights[s] for s, n in own.items()) for own in self.shingles]
         self.holders: dict[int, list[int]] = defaultdict(list)
         for i, own in enumerate(self.shingles):
@@ -77,7 +88,7 @@ class BenchmarkIndex:
         self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         reach = self.radius // BLOCKS
         for n, own in self.by_length.items():
-            sums = np.stack([(_signs(_shingles(self.words[i], self.k)) * self._weigh(_shingles(self.words[i], self.k))[:, None]).sum(axis=0) for i in own])
+            sums = np.stack([(_signs(_shingles(self.words[i], self.k)) * _weights(self.words[i], self.k)[:, None]).sum(axis=0) for i in own])
             self.prints[n] = _fingerprints(sums)
             for row, i in enumerate(own):
                 for block in range(BLOCKS):
@@ -85,12 +96,6 @@ class BenchmarkIndex:
                     for value in near:
                         self.blocks[n, block, int(value)].append(row)
 
-    def _weigh(self, shingles: np.ndarray) -> np.ndarray:
-        return np.array([self.weights.get(s, self.most) for s in shingles.tolist()])
-
-    def weight(self, shingle: int) -> float:
-        return self.weights.get(shingle, self.most)
-
     def in_text(self, hashes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, float]]:
         """(item row, first word, windows, similarity) of the items that a text holds. hits: by shingle size, positions and shingles."""
         found: dict[int, tuple[float, int, int]] = {}
@@ -112,19 +117,21 @@ class BenchmarkIndex:
         for n, starts in spans.items():
             starts = np.array(sorted(starts))
             first = int(starts[0])
-            own = _shingles(hashes[first : int(starts[-1]) + n], min(self.k, n))
+            part = hashes[first : int(starts[-1]) + n]
+            own, weights = _shingles(part, min(self.k, n)), _weights(part, min(self.k, n))
+            own_weights = dict(zip(own.tolist(), weights.tolist(), strict=True))
             sums = np.zeros((len(own) + 1, 64))
-            np.cumsum(_signs(own) * self._weigh(own)[:, None], axis=0, out=sums[1:])
+            np.cumsum(_signs(own) * weights[:, None], axis=0, out=sums[1:])
             width = n - min(self.k, n) + 1
             at = starts - first
-            prints = _fingerprints(np.round(sums[at + width] - sums[at], 9))
+            prints = _fingerprints(sums[at + width] - sums[at])
             for row in range(len(starts)):
                 candidates = {i for block in range(BLOCKS) for i in self.blocks.get((n, block, int(prints[row, block])), ())}
                 for c in candidates:
                     if int(_POPCOUNT[prints[row] ^ self.prints[n][c]].sum()) > self.radius:
                         continue
                     i = self.by_length[n][c]
-                    s = weighted_similarity(Counter(own[at[row] : at[row] + width].tolist()), self.shingles[i], self.weight)
+                    s = weighted_similarity(Counter(own[at[row] : at[row] + width].tolist()), own_weights, self.shingles[i], self.weights)
                     if s >= self.similarity - 1e-12:
                         best, where_, windows = found.get(i, (0.0, 0, 0))
                         found[i] = (s, int(starts[row]), windows + 1) if s > best else (best, where_, windows + 1)
@@ -194,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     k-word shingles. Fingerprints are cut into 8 blocks; within radius 23 at least one block differs in two
     bits at most, so the block index finds every fingerprint within the radius. Those are
     checked exactly: the weighted Jaccard similarity of window and item must reach `similarity`. A shingle weighs
-    log(1 + items / items that hold it). Windows that share no shingle with an item, or too little weight, can't reach it and
+    as much as it has different words. Windows that share no shingle with an item, or too little weight, can't reach it and
     get no fingerprint; that test is exact. first_word is the best window's, n_windows counts the windows.
 
     Texts are read once per block of benchmark items and never shuffled. Null and empty texts hold nothing; items without words
