@@ -88,7 +88,7 @@ class LogBilinear:
         return out
 
 
-def train(codes: np.ndarray, counts: np.ndarray, dimensions: int = 32, steps: int = 1500, batch: int = 2048, noise_ratio: int = 16, n_noise: int = 128, rate: float = 0.02, seed: int = 5) -> LogBilinear:
+def train(codes: np.ndarray, counts: np.ndarray, dimensions: int = 24, steps: int = 500, batch: int = 2048, noise_ratio: int = 16, n_noise: int = 128, rate: float = 0.04, seed: int = 5) -> LogBilinear:
     """Noise-contrastive estimation on trigram counts of classes (code = context * CLASSES + class).
 
     Examples are drawn by count; noise comes from the classes' frequencies and is shared by a batch, so a step
