@@ -35,11 +35,17 @@ def _round(column: Column | str, name: str) -> Column:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all signals, statistics, detected phrases, score and verdict."""
-    return verdicts.add_verdict(ts.analyze_text(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))).drop("text")
+    return verdicts.add_verdict(ts.analyze_text(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))).drop("text")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer partitions than there are cores, dealt out to all cores; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.with_parts(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return ts.with_parts(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 def _with(ctes: str, select: str) -> str:
@@ -108,13 +114,14 @@ MIXED = f"{_EXAMPLES_SQL} UNION ALL SELECT 1000000 + doc_id, coalesce(text, '')
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = spark.createDataFrame(EXAMPLES, "item_id long, text string")
-    return examples.unionAll(read(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text"))
+    return spread(examples.unionAll(read(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text")))
 
 
 @query("phrase_hits", _with(text_sql.base(MIXED), "SELECT k AS item_id, CAST(ord AS BIGINT) AS ord, pattern FROM n JOIN phrases ON contains(low, pattern)"))
 def phrase_hits(spark, sf_dir):
     order = F.create_map(*[F.lit(x) for i, _, pattern, _ in lexicon.PHRASES for x in (pattern, i)])
-    found = ts.with_parts(_mixed(spark, sf_dir)).select("item_id", F.explode("_found").alias("pattern"))
+    # outer, as a filter for empty arrays would be pushed down and compute them again
+    found = ts.with_parts(_mixed(spark, sf_dir)).select("item_id", F.explode_outer("_found").alias("pattern")).where("pattern IS NOT NULL")
     return found.select("item_id", F.element_at(order, F.col("pattern")).cast("long").alias("ord"), "pattern")
 
 
