@@ -206,7 +206,7 @@ def test_decontamination(spark):
             at = rng.randrange(len(text) + 1)
             text[at:at] = item if d % 2 else [w.upper() + "," for w in item]
         docs.append((d, " ".join(text)))
-    docs += [(200, "so three WORD, item!"), (201, "rep " * 400), (202, "x a b c d e y"), *ODD]
+    docs += [(200, "so three WORD, item!"), (201, "rep " * 400), (202, "x a b c d e y"), *((d if d is None else d + 1000, t) for d, t in ODD)]
     benchmark = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
     got = dc.find_leaks(frame(spark, docs), benchmark)
     expected = leaks_by_hand(docs, items)
