@@ -46,7 +46,7 @@ def requests_as_items(rows: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, content_type: str | None = None) -> DataFrame:
-    """Files as items, the type by name. content_type: only files with its extensions are listed and read."""
+    """Files as items, the type by name; empty files give no rows. content_type: only files with its extensions are listed and read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if content_type is not None:
         names = ",".join(e[1:] for e in routing.EXTENSIONS[content_type])
@@ -54,7 +54,7 @@ def read_files(spark: SparkSession, path: str, content_type: str | None = None)
     rows = reader.load(path).select(F.lit(None).cast("string").alias("url"), F.col("path"), "length", F.col("content").alias("data"))
     name = F.element_at(F.split("path", "/"), -1)
     out = rows.select("url", F.lit(None).cast("string").alias("text"), "data", name.alias("filename"), routing.type_of_filename(name).alias("content_type"), "length")
-    return out.withColumn("error", F.when(F.col("length") > routing.MOST_FILE, "file too large").when(F.col("length") == 0, "no content"))
+    return out.withColumn("error", F.when(F.col("length") > routing.MOST_FILE, "file too large"))
 
 
 def files_as_text(items: DataFrame, most_bytes: int = routing.FETCH_LIMITS["text"]) -> DataFrame:

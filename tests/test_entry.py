@@ -42,9 +42,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("héllo")
     (tmp_path / "a" / "y.png").write_bytes(b"\x89PNG")
-    (tmp_path / "z.bin").write_bytes(b"")
+    (tmp_path / "z.bin").write_bytes(b"z")
     got = {r.filename: (r.content_type, r.error) for r in readers.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"x.txt": ("text", None), "y.png": ("image", None), "z.bin": ("unknown", "no content")}
+    assert got == {"x.txt": ("text", None), "y.png": ("image", None), "z.bin": ("unknown", None)}
     assert [r.filename for r in readers.read_files(spark, str(tmp_path), "image").collect()] == ["y.png"]
     assert readers.files_as_text(readers.read_files(spark, str(tmp_path))).first().text == "héllo"
 
