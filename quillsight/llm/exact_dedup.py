@@ -39,8 +39,11 @@ def _ties(distinct: DataFrame, paired: bool, bits: int) -> dict:
     """
     hashed = distinct.withColumn("h", _hash(F.col("content"), bits))
     shared = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    if len(shared.limit(MOST_TIES + 1).collect()) > MOST_TIES:
+    n_shared = len(shared.limit(MOST_TIES + 1).collect())
+    if n_shared > MOST_TIES:
         raise RuntimeError(f"over {MOST_TIES} hashes are shared by different blocks")
+    if not n_shared:
+        return {}
     rows = hashed.join(shared, "h", "left_semi").select("h", _key(F.col("content"), paired).alias("key")).sort("h", "key").collect()
     out, last, rank = {}, None, 0
     for row in rows:
