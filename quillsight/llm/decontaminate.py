@@ -110,7 +110,14 @@ class BenchmarkIndex:
         for i, counts in seen.items():
             n = len(self.words[i])
             # a window as similar as asked holds that share of the item's weight, so this loses nothing
-            if n > len(hashes) or sum(min(c, self.shingles[i][s]) * self.weights[s] for s, c in counts.items()) < self.similarity * self.totals[i] - 1e-9:
+            if sum(min(c, self.shingles[i][s]) * self.weights[s] for s, c in counts.items()) < self.similarity * self.totals[i] - 1e-9:
+                continue
+            if n > len(hashes):
+                # one window, the whole text: few enough to be checked without a fingerprint
+                own, weights = _shingles(hashes, min(self.k, n)).tolist(), _weights(hashes, min(self.k, n)).tolist()
+                s = weighted_similarity(Counter(own), dict(zip(own, weights, strict=True)), self.shingles[i], self.weights)
+                if s >= self.similarity - 1e-12:
+                    found[i] = (s, 0, 1)
                 continue
             for p in where[i]:
                 spans[n].update(range(max(0, p - n + min(self.k, n)), min(p, len(hashes) - n) + 1))
@@ -202,7 +209,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     bits at most, so the block index finds every fingerprint within the radius. Those are
     checked exactly: the weighted Jaccard similarity of window and item must reach `similarity`. A shingle weighs
     as much as it has different words. Windows that share no shingle with an item, or too little weight, can't reach it and
-    get no fingerprint; that test is exact. first_word is the best window's, n_windows counts the windows.
+    get no fingerprint; that test is exact. A document shorter than an item is one window, and checked exactly at once: a
+    benchmark item without a few words is a leak too. first_word is the best window's, n_windows counts the windows.
 
     Texts are read once per block of benchmark items and never shuffled. Null and empty texts hold nothing; items without words
     are ignored; items shorter than k words are one shingle; equal items are all reported; repeated rows give repeated

@@ -219,6 +219,38 @@ def test_decontamination(spark):
     assert dc.find_leaks(frame(spark, docs), benchmark.limit(0)).count() == 0 and dc.find_leaks(frame(spark, []), benchmark).count() == 0
 
 
+def short_leaks_by_hand(docs, items, least=0.8):
+    """Documents shorter than an item, compared as a whole."""
+    out = set()
+    for d, t in docs:
+        for i, item in items:
+            w, own = (t or "").split(), (item or "").split()
+            k = min(5, len(own))
+            if k <= len(w) < len(own):
+                a, b = (Counter(tuple(x[p : p + k]) for p in range(len(x) - k + 1)) for x in (w, own))
+                both = sum(n * len(set(g)) for g, n in (a & b).items())
+                if both / (sum(n * len(set(g)) for g, n in (a | b).items())) >= least - 1e-12:
+                    out.add((d, i))
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"v{rng.randrange(300)}" for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([60, 60, 50, 30, 12, 6, 4])] + [(50, " ".join(["rep"] * 40)), (51, "a b c d")]
+    docs = [(0, " ".join(items[0][1].split()[:50]))]
+    for i, item in items:
+        w = item.split()
+        for cut in range(1, len(w)):
+            docs += [(1000 + 100 * i + cut, " ".join(w[:-cut])), (20000 + 100 * i + cut, " ".join(w[cut:])), (40000 + 100 * i + cut, " ".join(w[: len(w) // 2] + w[len(w) // 2 + cut :]))]
+    benchmark = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
+    expected = short_leaks_by_hand(docs, items) | leaks_by_hand(docs, items)
+    got = dc.find_leaks(frame(spark, docs), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and (0, 0) in expected and len(expected - leaks_by_hand(docs, items)) > 50
+    assert next(r.similarity for r in got if (r.doc_id, r.item_id) == (0, 0)) == pytest.approx(46 / 56, abs=0.01)
+    assert {r.doc_id for r in dc.decontaminate(frame(spark, docs), benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     index = dc.BenchmarkIndex([(i, " ".join(f"w{rng.integers(500)}" for _ in range(20)).encode()) for i in range(30)])
