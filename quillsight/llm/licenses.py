@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from re import _parser
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ALNUM, Members, Words, text_runs, word_hash, words_in
+from .common import ALNUM, Words, text_runs, word_hash, words_in
 
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -19,7 +20,7 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 _V = r"(?:,?\s*(?:version|ver\.?|v\.?)?\s*"
 _L = r"licen[cs]e"
 
-#: label; keywords, all of which a text must hold; title; version that may follow it; SPDX ids; addresses.
+#: label; keyword, for the reader; title; version that may follow it; SPDX ids; addresses.
 #: Every row gives up to five rules: SPDX tag, "licensed under" notice, title with version, title alone, address.
 _LICENSES = (
     ("mit", "mit", rf"(?:the\s+)?(?:mit|expat)(?:/x11)?\s+{_L}", "", r"mit", r"opensource\.org/licenses/mit"),
@@ -122,48 +123,77 @@ _COMMONS = (
 
 #: Notices that name no license.
 _NOTICES = (
-    ("all-rights-reserved", (("rights",), ("reserved",)), r"all\s+rights\s+(?:are\s+)?reserved", 30),
-    ("some-rights-reserved", (("rights",), ("reserved",)), r"some\s+rights\s+(?:are\s+)?reserved", 30),
-    ("copyright", (("copyright",),), r"copyright\s+(?:\(c\)|\xc2\xa9)?\s*(?:19|20)\d\d", 20),
-    ("proprietary", (("proprietary",),), r"proprietary\s+and\s+confidential|confidential\s+and\s+proprietary", 30),
-    ("no-redistribution", (("redistribution", "redistributed", "reproduction"),), r"(?:may\s+not\s+be\s+redistributed|redistribution\s+is\s+(?:prohibited|not\s+permitted)|reproduction\s+(?:is\s+)?prohibited)", 30),
-    ("non-commercial", (("commercial", "noncommercial"),), r"for\s+non-?commercial\s+(?:use|purposes)\s+only", 25),
-    ("generic-license", (("license", "licence"),), r"(?:see|read)\s+(?:the\s+)?(?:file\s+)?(?:license|licence|copying)(?:\.txt|\.md)?\s+(?:file\s+)?for\s+(?:details|more)", 25),
+    ("all-rights-reserved", r"all\s+rights\s+(?:are\s+)?reserved", 30),
+    ("some-rights-reserved", r"some\s+rights\s+(?:are\s+)?reserved", 30),
+    ("copyright", r"copyright\s+(?:\(c\)|\xc2\xa9)?\s*(?:19|20)\d\d", 20),
+    ("proprietary", r"proprietary\s+and\s+confidential|confidential\s+and\s+proprietary", 30),
+    ("no-redistribution", r"(?:may\s+not\s+be\s+redistributed|redistribution\s+is\s+(?:prohibited|not\s+permitted)|reproduction\s+(?:is\s+)?prohibited)", 30),
+    ("non-commercial", r"for\s+non-?commercial\s+(?:use|purposes)\s+only", 25),
+    ("generic-license", r"(?:see|read)\s+(?:the\s+)?(?:file\s+)?(?:license|licence|copying)(?:\.txt|\.md)?\s+(?:file\s+)?for\s+(?:details|more)", 25),
 )
 
 
 class Rule(NamedTuple):
     label: str
-    gate: tuple[tuple[str, ...], ...]
+    gate: tuple[tuple[bytes, ...], ...]
     pattern: re.Pattern
     priority: int
 
 
+def _needed(parsed) -> list[tuple[bytes, ...]]:
+    """Groups of byte strings, of each of which every match of a parsed pattern holds one."""
+    groups, run = [], bytearray()
+
+    def close() -> None:
+        if len(run) > 1:
+            groups.append((bytes(run),))
+        run.clear()
+
+    for kind, value in parsed:
+        if kind is _parser.LITERAL:
+            run.append(value)
+            continue
+        close()
+        if kind is _parser.SUBPATTERN:
+            groups += _needed(value[3])
+        elif kind is _parser.BRANCH:
+            # of each alternative the group whose shortest string is the longest
+            best = [max(_needed(x), key=lambda g: min(map(len, g)), default=()) for x in value[1]]
+            if all(best):
+                groups.append(tuple(sorted({w for group in best for w in group})))
+        elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            groups += _needed(value[2])
+    close()
+    return groups
+
+
+def gate_of(pattern: bytes) -> tuple[tuple[bytes, ...], ...]:
+    """What a text must hold for the pattern to match at all, read from the pattern itself: one string of every group."""
+    return tuple(sorted(set(_needed(_parser.parse(pattern))), key=lambda g: (-min(map(len, g)), g)))
+
+
 def signatures() -> list[Rule]:
     """The rules, those of the highest priority first."""
     under = r"(?:licen[cs]ed|released|distributed|published|provided|available|redistribut\w+)(?:\s+\w+){0,3}\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+(?:the\s+)?)?"
-    rows: list[tuple[str, tuple[tuple[str, ...], ...], str, int]] = []
-    for label, keyword, title, version, spdx, address in _LICENSES:
-        words = {"mit": (("mit", "expat"), ("license", "licence", "attribution")), "cc0": (("cc0", "zero"),), "database": (("database", "odbl"),), "cddl": (("cddl", "development"),), "eupl": (("eupl", "european"),), "microsoft": (("microsoft", "ms"),), "ofl": (("ofl", "font"),), "sspl": (("sspl", "server"),), "qpl": (("qpl", "q"),), "python": (("python", "psf"),), "etalab": (("etalab", "ouverte"),), "gpl": (("gpl", "gplv1", "gplv2", "gplv3"),)}
-        gate = words.get(keyword, ((keyword,),))
-        rows.append((label, gate, rf"\b{under}(?:{title}){version}", 80))
+    rows: list[tuple[str, str, int]] = []
+    for label, _, title, version, spdx, address in _LICENSES:
+        rows.append((label, rf"\b{under}(?:{title}){version}", 80))
         if version:
-            rows.append((label, gate, rf"\b(?:{title}){version}", 60))
-        rows.append((re.sub(r"-\d.*$", "", label) if version else label, gate, rf"\b(?:{title})", 40))
+            rows.append((label, rf"\b(?:{title}){version}", 60))
+        rows.append((re.sub(r"-\d.*$", "", label) if version else label, rf"\b(?:{title})", 40))
         if spdx:
-            rows.append((label, (("spdx",),), rf"spdx-license-identifier:\s*\(?{spdx}(?![\w.+-])", 100))
-        rows.append((label, (("http", "https", "www", "org", "com", "net", "info", "eu", "uk", "fr", "de", "cn", "co"),), rf"(?:https?://|www\.)(?:www\.)?(?:{address})", 70))
+            rows.append((label, rf"spdx-license-identifier:\s*\(?{spdx}(?![\w.+-])", 100))
+        rows.append((label, rf"(?:https?://|www\.)(?:www\.)?(?:{address})", 70))
     for label, name, path in _COMMONS:
-        gate = (("cc", "creative"),)
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             exact = version.replace(".", r"\.")
-            rows.append((f"{label}-{version}", gate, rf"\b{under}(?:a\s+)?{name}(?:\s+(?:international|unported|generic|licen[cs]e|version|v))*\s*{exact}", 80))
-            rows.append((f"{label}-{version}", gate, rf"\b{name}(?:\s+(?:international|unported|generic|licen[cs]e|version|v))*[\s-]*{exact}", 60))
-            rows.append((f"{label}-{version}", (("creativecommons",),), rf"creativecommons\.org/licenses/{path}/{exact}", 70))
-        rows.append((label, gate, rf"\b{name}\b(?!-)", 40))
-        rows.append((label, (("spdx",),), rf"spdx-license-identifier:\s*{label}-\d\.\d(?![\w.+-])", 100))
+            rows.append((f"{label}-{version}", rf"\b{under}(?:a\s+)?{name}(?:\s+(?:international|unported|generic|licen[cs]e|version|v))*\s*{exact}", 80))
+            rows.append((f"{label}-{version}", rf"\b{name}(?:\s+(?:international|unported|generic|licen[cs]e|version|v))*[\s-]*{exact}", 60))
+            rows.append((f"{label}-{version}", rf"creativecommons\.org/licenses/{path}/{exact}", 70))
+        rows.append((label, rf"\b{name}\b(?!-)", 40))
+        rows.append((label, rf"spdx-license-identifier:\s*{label}-\d\.\d(?![\w.+-])", 100))
     rows += _NOTICES
-    rules = [Rule(label, gate, re.compile(pattern.encode("latin-1")), priority) for label, gate, pattern, priority in rows]
+    rules = [Rule(label, gate_of(x), re.compile(x), priority) for label, x, priority in ((label, pattern.encode("latin-1"), priority) for label, pattern, priority in rows)]
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -186,10 +216,9 @@ def resolve(found: list[Detection]) -> list[Detection]:
 class Scanner:
     def __init__(self) -> None:
         self.rules = signatures()
-        keywords = sorted({word for rule in self.rules for group in rule.gate for word in group})
-        self.ids = {word_hash(w.encode()): w for w in keywords}
-        self.members = Members(np.array(list(self.ids), dtype=np.uint64))
-        self.names = [self.ids[k] for k in self.members.keys.tolist()]
+        self.gates: dict[tuple[tuple[bytes, ...], ...], list[int]] = defaultdict(list)
+        for i, rule in enumerate(self.rules):
+            self.gates[rule.gate].append(i)
         self.phrases = [(phrase.encode().split(), label) for phrase, label in PHRASES]
         self.hashes = [[np.uint64(word_hash(w)) for w in words] for words, _ in self.phrases]
 
@@ -210,18 +239,19 @@ class Scanner:
         return out
 
     def detect(self, words: Words) -> dict[int, list[Detection]]:
-        """Per text, the detections that remain. Only rules whose keywords the text holds are tried."""
-        at, rank = self.members.find(words.hash)
-        held: dict[int, set[str]] = defaultdict(set)
-        for text, r in set(zip(words.text[at].tolist(), rank.tolist(), strict=True)):
-            held[text].add(self.names[r])
+        """Per text, the detections that remain. Only rules whose gate the text passes are tried."""
         out = {}
-        for text, have in held.items():
-            rules = [r for r in self.rules if all(any(w in have for w in group) for group in r.gate)]
-            if not rules:
-                continue
+        for text in np.unique(words.text).tolist():
             content = words.bytes[words.offsets[text] : words.offsets[text + 1]].tobytes()
-            found = [Detection(r.label, m.start(), m.end(), r.priority) for r in rules for m in r.pattern.finditer(content)]
+            held: dict[tuple[bytes, ...], bool] = {}
+
+            def holds(group: tuple[bytes, ...], content=content, held=held) -> bool:
+                if group not in held:
+                    held[group] = any(x in content for x in group)
+                return held[group]
+
+            passed = sorted(i for gate, own in self.gates.items() if all(holds(g) for g in gate) for i in own)
+            found = [Detection(r.label, m.start(), m.end(), r.priority) for r in (self.rules[i] for i in passed) for m in r.pattern.finditer(content)]
             if found:
                 out[text] = resolve(found)
         return out
@@ -252,7 +282,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     in characters, priority); n_found: their number. labels: base labels and those of the spans; score: the strongest
     span's priority / 100, 0.5 at least if a phrase stands there, else 0.
 
-    Rules are tried in order of priority, each only on texts that hold its keywords. Detections are accepted
+    Rules are tried in order of priority, each only on texts that hold the strings that its pattern cannot do without. Detections are accepted
     by priority, then length, then place; what overlaps an accepted one goes, above all what lies within it. A null or
     empty text has no words, empty labels and score 0; repeated rows give repeated results; no rows give no rows; other columns are ignored.
     """

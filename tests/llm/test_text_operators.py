@@ -126,6 +126,47 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def _examples(parsed, pick):
+    """A text that a parsed pattern matches; pick(n) chooses among n alternatives or numbers of repeats."""
+    out = b""
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            out += bytes([value])
+        elif name == "ANY":
+            out += b"x"
+        elif name == "IN":
+            what, x = value[pick(len(value))]
+            out += {"CATEGORY_SPACE": b" ", "CATEGORY_DIGIT": b"1", "CATEGORY_WORD": b"w"}[str(x)] if str(what) == "CATEGORY" else bytes([x[0] if str(what) == "RANGE" else x])
+        elif name == "SUBPATTERN":
+            out += _examples(value[3], pick)
+        elif name == "BRANCH":
+            out += _examples(value[1][pick(len(value[1]))], pick)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += b"".join(_examples(value[2], pick) for _ in range(value[0] + pick(min(value[1] - value[0], 2) + 1)))
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_rule_passes_its_gate(spark):
+    rng, matched = random.Random(8), 0
+    for rule in licenses.signatures():
+        assert rule.gate, rule.pattern
+        for _ in range(40):
+            text = _examples(re._parser.parse(rule.pattern.pattern), rng.randrange)
+            if rule.pattern.search(text):
+                matched += 1
+                assert all(any(x in text for x in group) for group in rule.gate), (rule.pattern, text)
+    assert matched > 10_000
+    wanted = {
+        "FreeBSD License": "bsd-2-clause", "0BSD license": "0bsd", "Beerware license": "beerware", "PNG Reference Library License": "libpng", "a BSD-style licence": "bsd",
+        "Public Domain Dedication and License": "pddl", "MIT Licensed code": "mit", "GPL3": "gpl", "Open Data Commons Attribution License": "odc-by", "under MIT\u00e9": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(frame(spark, list(enumerate(wanted)))).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>menu</a></li></ul></nav>"
     "<!-- note --><div class=\"ad\">Buy  now</div><article><h1>Head &lt;1&gt;</h1><p><b>One  two<br>three.<p>Four&nbsp;five &eacute;</p><aside>aside</aside><form>f<input></form>"
