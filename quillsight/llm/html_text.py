@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
+from .common import materialize
 from .url_filter import host_of, path_of
 
 #: Elements that begin and end a line.
@@ -149,15 +153,39 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[Line], other: list[Line] | None) -> tuple[str, int, int]:
-    """Main text, lines shared with the other page, and lines deleted.
+#: Another page that has this share of an article's characters is a copy of it, and tells nothing about boilerplate.
+COPIED = 0.5
 
-    Lines that both pages share go, and so do those in elements that are never main text. Lines of the article proper
-    stay even where another page repeats them: copied articles aren't boilerplate.
+
+def _body(lines: list[Line]) -> list[int]:
+    """Positions of the lines that would be the main text without another page: those of the article if there is one."""
+    own = [i for i, x in enumerate(lines) if not x.dropped]
+    return [i for i in own if lines[i].article] or own
+
+
+def body_hash(lines: list[Line]) -> int:
+    """Pages of equal bodies are copies, whatever stands around them."""
+    body = "\n".join(lines[i].text for i in _body(lines))
+    return int.from_bytes(hashlib.md5(body.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+
+
+def main_text(lines: list[Line], others: list[list[Line]]) -> tuple[str, int, int]:
+    """Main text, lines shared with another page, and lines deleted.
+
+    Lines in elements that are never main text go, and those outside of the article where there is one; of the others, those
+    that the other page shares. The first of `others` serves, but none that shares half of an article's characters: copied articles aren't
+    boilerplate.
     """
-    shared = shared_lines([x.text for x in lines], [x.text for x in other]) if other else set()
-    article = any(x.article and not x.dropped for x in lines)
-    kept = [x.text for i, x in enumerate(lines) if not x.dropped and (x.article if article else i not in shared)]
+    body = _body(lines)
+    article = any(lines[i].article for i in body)
+    size = sum(len(lines[i].text) for i in body)
+    shared: set[int] = set()
+    for other in others:
+        found = shared_lines([x.text for x in lines], [x.text for x in other])
+        if not article or sum(len(lines[i].text) for i in body if i in found) < COPIED * size:
+            shared = found
+            break
+    kept = [lines[i].text for i in body if article or i not in shared]
     return "\n".join(kept), len(shared), len(lines) - len(kept)
 
 
@@ -179,41 +207,154 @@ SCHEMA = T.StructType(
 )
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, range_chars: int = 16 << 20) -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_deleted for every row of pages (page_id, url, html).
 
-    Pages are range-sorted by host and URL path (one shuffle, whatever the size of a host) and read in that order. Each is
-    compared with the neighbour on its host, before or after it, whose path begins alike for longest (the one before
-    if both do); at the edge of a sorted range the neighbour inside it serves. Their lines are aligned by longest common
-    subsequence. See main_text for what goes.
+    Pages are sorted by host and URL path. Each is compared with the nearest page before and the nearest after it on its host whose
+    body differs (copies tell nothing), first with the one whose path begins alike for longest (the one before if both do).
+    Their lines are aligned by longest common subsequence. See main_text for what goes.
+
+    1. Every page's key and hash of its body are written, range-sorted (into ranges of about range_chars of HTML), and the ends of each range are read: its first and last page, and
+       the pages nearest to them with other bodies. From these the driver tells which pages of other ranges each range needs: two at most.
+    2. The pages are dealt out by the same ranges with those neighbours (one shuffle, whatever the size of a host) and read in order.
+       So the results don't depend on the ranges.
 
-    Null html gives an empty text; null urls and those without :// share one empty host; a page alone on its host is
-    only cleaned of markup and of elements that are never main text; cut-off markup ends with the page; repeated rows stay;
+    Null html gives an empty text; null urls and those without :// share one empty host; a page alone on its host, or with copies
+    only, is only cleaned of markup and of elements that are never main text; cut-off markup ends with the page; repeated rows stay;
     no rows give no rows; other columns are ignored.
     """
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    order = ("host", "path", "page_id")
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_extract, SCHEMA)
+    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("html").alias("tie"))
+    bodies = materialize(keyed.select(*ORDER, "html").mapInArrow(_bodies, _BODIES), "page-bodies")
+    size = bodies.agg(F.sum("size")).first()[0] or 0
+    ends = bodies.repartitionByRange(size // range_chars + 1, *ORDER[:-1]).sortWithinPartitions(*ORDER).drop("size").mapInArrow(_ends, _ENDS).collect()
+    ends.sort(key=lambda r: _key(r["first"]))
+    cuts = [_key(r["first"])[:-1] for r in ends]
+    needed: dict[tuple, list[int]] = defaultdict(list)
+    for i in range(len(ends)):
+        for side in (1, -1):
+            page = _beyond(ends, i, side)
+            if page is not None:
+                needed[_key(page)].append(i)
+    needed = dict(needed)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, lent = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ORDER]
+            for i, key in enumerate(map(_sortable, *columns)):
+                own = max(0, bisect_right(cuts, key[:-1]) - 1)
+                for part in (own, *needed.get(key, ())):
+                    rows.append(i)
+                    parts.append(part)
+                    lent.append(part != own)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32()), pa.array(lent, pa.bool_())], names=[*batch.schema.names, "part", "lent"])
+
+    dealt = keyed.mapInArrow(deal, T.StructType([*keyed.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("lent", T.BooleanType())]))
+    return dealt.repartitionById(max(1, len(cuts)), F.col("part")).sortWithinPartitions("part", *ORDER).mapInArrow(_extract, SCHEMA)
+
+
+#: Pages of equal host, path and id are kept together, and sorted by the hash of their HTML.
+ORDER = ("host", "path", "page_id", "tie")
+_PAGE = T.StructType(
+    [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("body", T.LongType())]
+)
+_BODIES = T.StructType([*_PAGE.fields, T.StructField("size", T.LongType())])
+#: Of a sorted range: the first page, the first of another host or body than its; the last page, the last of another host or body.
+_ENDS = T.StructType([T.StructField(c, _PAGE) for c in ("first", "second", "last", "before_last")])
+
+
+def _sortable(host: str, path: str, page_id: int | None, tie: int) -> tuple:
+    """A key that sorts as Spark does: a null id comes first."""
+    return host, path, page_id is not None, page_id or 0, tie
+
+
+def _key(page: Row) -> tuple:
+    return _sortable(*page[:4])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(body_hash(page_lines(page)), len(page)) for page in (x.as_py() or "" for x in batch.column(4))]
+        hashes, sizes = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], names=_BODIES.names)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = second = last = before_last = None
+    for batch in batches:
+        for page in batch.to_pylist():
+            run = page["host"], page["body"]
+            if first is None:
+                first = page
+            elif second is None and run != (first["host"], first["body"]):
+                second = page
+            if last is not None and run != (last["host"], last["body"]):
+                before_last = last
+            last = page
+    if first is not None:
+        kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("tie", pa.int64()), ("body", pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x in (first, second, last, before_last)], names=_ENDS.names)
+
+
+def _beyond(ends: list[Row], i: int, side: int) -> Row | None:
+    """The page nearest to range i after (1) or before (-1) it that has another body than the page at its edge, on the same host."""
+    edge, near, far = ("last", "first", "second") if side == 1 else ("first", "last", "before_last")
+    page = ends[i][edge]
+    j = i + side
+    while 0 <= j < len(ends):
+        for other in (ends[j][near], ends[j][far]):
+            if other is not None and other["host"] != page["host"]:
+                return None
+            if other is not None and other["body"] != page["body"]:
+                return other
+        j += side
+    return None
+
+
+class _Page(NamedTuple):
+    page_id: int | None
+    url: str | None
+    path: str
+    lines: list[Line]
+    lent: bool
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pages() -> Iterator[tuple]:
+    def runs() -> Iterator[tuple[tuple, list[_Page]]]:
+        """Neighbouring pages of one part, host and body; equal pages share their lines."""
+        run, held, of_html = None, [], {}
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "html", "host", "path")]
+            columns = [batch.column(c) for c in ("page_id", "url", "html", "host", "path", "part", "lent")]
             for i in range(batch.num_rows):
-                page_id, url, page, host, path = (c[i].as_py() for c in columns)
-                yield page_id, url, host, path, page_lines(page or "")
-        yield None
+                page_id, url, page, host, path, part, lent = (c[i].as_py() for c in columns)
+                page = page or ""
+                lines, body = of_html.get(page) or (None, None)
+                if lines is None:
+                    lines = page_lines(page)
+                    body = body_hash(lines)
+                if run != (part, host, body):
+                    if held:
+                        yield run, held
+                    run, held, of_html = (part, host, body), [], {}
+                of_html[page] = lines, body
+                held.append(_Page(page_id, url, path, lines, lent))
+        if held:
+            yield run, held
+        yield (), []
 
     def rows() -> Iterator[tuple]:
-        before = now = None
-        for after in pages():
-            if now is not None:
-                near = [x for x in (before, after) if x is not None and x[2] == now[2]]
-                other = max(near, key=lambda x: _near(now[3], x[3]), default=None)
-                text, n_shared, n_deleted = main_text(now[4], other and other[4])
-                yield now[0], now[1], text, len(text), n_shared, n_deleted
-            before, now = now, after
+        before: list[_Page] = []
+        (run, held), before_run = ((), []), ()
+        for after_run, after in runs():
+            near = [x for x, there in ((before[-1:], before_run), (after[:1], after_run)) if x and there[:2] == run[:2]]
+            for now in held:
+                if not now.lent:
+                    others = sorted((x[0] for x in near), key=lambda x, now=now: -_near(now.path, x.path))
+                    text, n_shared, n_deleted = main_text(now.lines, [x.lines for x in others])
+                    yield now.page_id, now.url, text, len(text), n_shared, n_deleted
+            before, before_run = held, run
+            run, held = after_run, after
 
     chunk, size = [], 0
     for row in rows():

@@ -191,6 +191,22 @@ def test_page_differencing(spark):
     assert {r.page_id: r.text for r in got} == {i: f"own {i}" for i in range(6)} and all(r.n_shared == 2 for r in got)
 
 
+def extracted(spark, rows, parts):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    size = sum(len(r[2]) for r in rows)
+    return sorted((tuple(r) for r in html_text.extract_text(pages, size // parts + 1).collect()), key=lambda r: (r[0] or 0, r[2]))
+
+
+def test_pairing_ignores_copies_and_ranges(spark):
+    page = "<body><p>Site banner</p><p>{}</p><p>Site terms</p></body>"
+    rows = [(i, f"http://h.com/d/{i:03d}", page.format(f"own {i // 9}")) for i in range(60)] + [(None, "http://h.com/d/007", page.format("own 0"))] * 3
+    rows += [(100 + i, f"http://g{i % 4}.com/{i:03d}", page.format(f"g {i % 7}")) for i in range(40)] + [(200 + i, "http://same.com/x", page.format("same")) for i in range(5)]
+    one = extracted(spark, rows, 1)
+    assert {r[2] for r in one if r[0] is None or r[0] < 100} == {f"own {i}" for i in range(7)}
+    assert all(r[2] == "Site banner\nsame\nSite terms" for r in one if r[0] and r[0] >= 200)
+    assert len(one) == len(rows) and extracted(spark, rows, 7) == one and extracted(spark, rows, 40) == one
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(2)
     for _ in range(200):
