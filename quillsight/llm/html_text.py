@@ -185,7 +185,7 @@ def main_text(lines: list[Line], others: list[list[Line]]) -> tuple[str, int, in
         if not article or sum(len(lines[i].text) for i in body if i in found) < COPIED * size:
             shared = found
             break
-    kept = [lines[i].text for i in body if article or i not in shared]
+    kept = [lines[i].text for i in body if i not in shared]
     return "\n".join(kept), len(shared), len(lines) - len(kept)
 
 

@@ -197,6 +197,16 @@ def extracted(spark, rows, parts):
     return sorted((tuple(r) for r in html_text.extract_text(pages, size // parts + 1).collect()), key=lambda r: (r[0] or 0, r[2]))
 
 
+def test_alignment_decides_within_articles(spark):
+    page = "<body><nav>menu</nav><article><p>Share this story</p><p>Story {0}: {1}</p><p>Read our newsletter</p></article></body>"
+    rows = [(i, f"http://h.com/d/{i}", page.format(i, " ".join(f"w{i}x{j}" for j in range(30)))) for i in range(5)]
+    rows += [(10, "http://h.com/d/1/copy", rows[1][2]), (11, "http://copy.com/1", rows[0][2]), (12, "http://copy.com/2", rows[0][2].replace("Share", "Spread"))]
+    got = {r[0]: r for r in extracted(spark, rows, 3)}
+    assert all(got[i][2] == f"Story {i}: " + " ".join(f"w{i}x{j}" for j in range(30)) and got[i][4] == 3 for i in range(5))
+    assert got[10][2] == got[1][2]
+    assert got[11][2].startswith("Share this story") and got[12][2].startswith("Spread") and got[11][4] == got[12][4] == 0
+
+
 def test_pairing_ignores_copies_and_ranges(spark):
     page = "<body><p>Site banner</p><p>{}</p><p>Site terms</p></body>"
     rows = [(i, f"http://h.com/d/{i:03d}", page.format(f"own {i // 9}")) for i in range(60)] + [(None, "http://h.com/d/007", page.format("own 0"))] * 3
