@@ -88,51 +88,74 @@ class LogBilinear:
         return out
 
 
-def train(codes: np.ndarray, counts: np.ndarray, dimensions: int = 24, steps: int = 500, batch: int = 2048, noise_ratio: int = 16, n_noise: int = 128, rate: float = 0.04, seed: int = 5) -> LogBilinear:
-    """Noise-contrastive estimation on trigram counts of classes (code = context * CLASSES + class).
+class Adam:
+    """Adam steps on arrays in place, with a rate that falls to zero over `steps`."""
 
-    Examples are drawn by count; noise comes from the classes' frequencies and is shared by a batch, so a step
-    is a few matrix products. The scores' normaliser is taken as 1 in training.
+    def __init__(self, parameters: list[np.ndarray], rate: float, steps: int):
+        self.parameters, self.rate, self.steps, self.step = parameters, rate, steps, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+
+    def move(self, slopes: tuple[np.ndarray, ...]) -> None:
+        self.step += 1
+        speed = self.rate * min(1.0, 2 * (1 - self.step / (self.steps + 1)))
+        for p, (mean, square), g in zip(self.parameters, self.moments, slopes, strict=True):
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            p -= speed * (mean / (1 - 0.9**self.step)) / (np.sqrt(square / (1 - 0.99**self.step)) + 1e-8)
+
+
+def _contrast(scores: np.ndarray, offset: np.ndarray, seen: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Slopes of the loss of noise-contrastive estimation for counts `seen` and expected noise counts; nothing is drawn."""
+    odds = 1 / (1 + np.exp(-np.clip(scores - offset, -30, 30)))
+    return odds * (seen + noise) - seen
+
+
+def train(
+    codes: np.ndarray, counts: np.ndarray, dimensions: int = 32, steps: int | None = None, batch: int = 1024, noise_ratio: int = 16, rate: float = 0.04, seed: int = 5, classes: int = CLASSES, epochs: int = 12
+) -> LogBilinear:
+    """Noise-contrastive estimation on trigram counts of classes (code = context * classes + class).
+
+    Every epoch reads all codes with their counts, a batch of contexts with all classes at a time. Noise comes from the classes'
+    frequencies; its expected counts are taken instead of draws, so nothing is sampled. The scores' normaliser is taken as 1 in training.
+    steps: stop after so many batches.
     """
     random = np.random.default_rng(seed)
-    context = random.normal(0, 0.1, (CLASSES + 1, dimensions)).astype(np.float32)
-    target = random.normal(0, 0.1, (CLASSES, dimensions)).astype(np.float32)
+    context = random.normal(0, 0.1, (classes + 1, dimensions)).astype(np.float32)
+    target = random.normal(0, 0.1, (classes, dimensions)).astype(np.float32)
     position = np.ones((2, dimensions), dtype=np.float32)
     position[1] = 0.5
     if not len(codes):
-        return LogBilinear(context, target * 0, position, np.zeros(CLASSES, dtype=np.float32))
-    noise = np.bincount(codes % CLASSES, weights=counts, minlength=CLASSES) + 0.5
+        return LogBilinear(context, target * 0, position, np.zeros(classes, dtype=np.float32))
+    noise = np.bincount(codes % classes, weights=counts, minlength=classes) + 0.5
     noise /= noise.sum()
     bias = np.log(noise).astype(np.float32)
     offset = np.log(noise_ratio * noise).astype(np.float32)
-    steps_up = np.cumsum(counts, dtype=np.float64)
-    parameters = [context, target, position, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
-    rows = np.arange(batch)
-    for step in range(1, steps + 1):
-        drawn = codes[np.searchsorted(steps_up, random.random(batch) * steps_up[-1], side="right").clip(0, len(codes) - 1)]
-        w, pair = drawn % CLASSES, drawn // CLASSES
-        u, v = pair // (CLASSES + 1), pair % (CLASSES + 1)
-        sampled = random.multinomial(n_noise, noise).astype(np.float32) * (noise_ratio / n_noise)
-        predicted = position[0] * context[v] + position[1] * context[u]
-        odds = 1 / (1 + np.exp(-np.clip(predicted @ target.T + bias - offset, -30, 30)))
-        slope = odds * sampled
-        slope[rows, w] += odds[rows, w] - 1
-        slope /= batch
-        to_predicted = slope @ target
-        at_v, at_u = np.zeros((2, batch, CLASSES + 1), dtype=np.float32)
-        at_v[rows, v] = at_u[rows, u] = 1
-        slopes = (
-            at_v.T @ (to_predicted * position[0]) + at_u.T @ (to_predicted * position[1]),
-            slope.T @ predicted,
-            np.stack([(to_predicted * context[v]).sum(axis=0), (to_predicted * context[u]).sum(axis=0)]),
-            slope.sum(axis=0),
-        )
-        speed = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for p, (mean, square), g in zip(parameters, moments, slopes, strict=True):
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
-            p -= speed * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    pairs, row = np.unique(codes // classes, return_inverse=True)
+    place = random.permutation(len(pairs))
+    order = np.argsort(place[row], kind="stable")
+    pairs = pairs[np.argsort(place)]
+    row, column, weight = place[row][order], (codes % classes)[order], counts[order].astype(np.float32)
+    firsts = np.arange(0, len(pairs), batch)
+    cuts = np.searchsorted(row, np.append(firsts, len(pairs)))
+    mean = float(counts.sum()) / len(firsts)
+    epochs = max(epochs, -(-60 // len(firsts)))
+    steps = epochs * len(firsts) if steps is None else steps
+    adam = Adam([context, target, position, bias], rate, steps)
+    expected = (noise_ratio * noise).astype(np.float32)
+    while adam.step < steps:
+        for b in random.permutation(len(firsts))[: steps - adam.step].tolist():
+            lo, hi = cuts[b], cuts[b + 1]
+            own = pairs[firsts[b] : firsts[b] + batch]
+            seen = np.zeros((len(own), classes), dtype=np.float32)
+            seen[row[lo:hi] - firsts[b], column[lo:hi]] = weight[lo:hi]
+            u, v = own // (classes + 1), own % (classes + 1)
+            predicted = position[0] * context[v] + position[1] * context[u]
+            slope = _contrast(predicted @ target.T + bias, offset, seen, seen.sum(axis=1, keepdims=True) * expected) / np.float32(mean)
+            to_predicted = slope @ target
+            at_context = np.zeros_like(context)
+            np.add.at(at_context, v, to_predicted * position[0])
+            np.add.at(at_context, u, to_predicted * position[1])
+            adam.move((at_context, slope.T @ predicted, np.stack([(to_predicted * context[v]).sum(axis=0), (to_predicted * context[u]).sum(axis=0)]), slope.sum(axis=0)))
     return LogBilinear(context, target, position, bias)
 
 
@@ -194,7 +217,7 @@ def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFra
     log10 probability, score that of the model: p(token) = p(class | classes of the two tokens before) * p(token | class).
 
     The first factor is the log-bilinear model over 160 classes: the end, the 95 most frequent tokens, and 64 classes of all
-    others by first and last letters. It is trained on the counts of all class trigrams of the training rows, of which there are at most
+    others by first and last letters. It is trained on the counts of all class trigrams of the training rows, in full epochs without draws, of which there are at most
     162 * 161 * 160 whatever the size of the corpus. The second factor is (c + 0.5) / (sum of c + 0.5 in the class, + 0.5 for its unknown tokens),
     with c over all training tokens. So the probabilities of all known tokens and of one unknown token per class sum to 1.
 

@@ -62,6 +62,16 @@ def test_lm_is_normalised():
     assert (10**table).sum(axis=1) == pytest.approx(np.ones(len(table)))
 
 
+def test_lm_training_reads_every_code():
+    rng = np.random.default_rng(3)
+    pairs = rng.permutation((lm.CLASSES + 1) ** 2)[:6000]
+    codes = np.sort(pairs * lm.CLASSES + (pairs % 7) * 20)
+    table = lm.train(codes, np.full(len(codes), 3, dtype=np.int64)).log10_table().ravel()
+    by_class = np.log10(np.bincount(codes % lm.CLASSES)[codes % lm.CLASSES] / len(codes))
+    assert table[codes].mean() > by_class.mean() + 0.3 and (table[codes] > by_class).mean() > 0.95
+    assert np.array_equal(lm.train(codes, np.full(len(codes), 3), steps=9).context, lm.train(codes, np.full(len(codes), 3), steps=9).context)
+
+
 def test_lm_without_training_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
