@@ -1,4 +1,4 @@
-"""LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation, over classes of tokens."""
+"""LM scoring: a two-level log-bilinear model (classes, then words) trained in numpy with noise-contrastive estimation."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import SPACED, Members, Words, materialize, remainder_of_id, text_runs, words_in
 
-#: Classes: the end of a text, the most frequent tokens alone, and the rest by shape.
-FREQUENT, SHAPES = 95, 64
+#: Classes: the end of a text, the most frequent tokens alone (more with a larger vocabulary), and the rest by shape.
+FREQUENT, MOST_FREQUENT, SHAPES = 95, 191, 64
 CLASSES = 1 + FREQUENT + SHAPES
+#: Tokens seen so often, among the HEAD most frequent, have vectors of their own.
+LEAST_SEEN = 5
 #: Stands for the end of a text among the token hashes.
 END = 0x656E64
 #: So many tokens with the highest counts are sent to the executors; the counts of others are joined.
@@ -48,44 +50,22 @@ class Tokens:
 
     def classes(self, frequent: Members, ranks: np.ndarray) -> np.ndarray:
         """0 for an end, 1.. for frequent tokens, then by shape."""
-        out = np.where(self.shape < 0, 0, self.shape + 1 + FREQUENT)
+        out = np.where(self.shape < 0, 0, self.shape + 1 + len(ranks))
         at, which = frequent.find(self.hash)
         out[at] = ranks[which]
         return out
 
-    def contexts(self, classes: np.ndarray) -> np.ndarray:
-        """For each token, the number of the pair of classes before it; CLASSES stands for what is before the text."""
+    def contexts(self, classes: np.ndarray, n_classes: int) -> np.ndarray:
+        """For each token, the number of the pair of classes before it; n_classes stands for what is before the text."""
         n = len(classes)
-        one, two = np.full(n, CLASSES), np.full(n, CLASSES)
+        one, two = np.full(n, n_classes), np.full(n, n_classes)
         one[1:] = classes[:-1]
         two[2:] = classes[:-2]
         begins = np.concatenate(([0], self.ends[:-1] + 1))
-        one[begins] = CLASSES
-        two[begins] = CLASSES
-        two[np.minimum(begins + 1, n - 1)[self.counts > 1]] = CLASSES
-        return two * (CLASSES + 1) + one
-
-
-@dataclass(frozen=True)
-class LogBilinear:
-    """score(w | u, v) = (weights_1 * r_v + weights_2 * r_u) . q_w + bias_w over classes."""
-
-    context: np.ndarray
-    target: np.ndarray
-    position: np.ndarray
-    bias: np.ndarray
-
-    def log10_table(self) -> np.ndarray:
-        """log10 p(class | two classes before), for every context at once: matrix products, then normalisation."""
-        one = self.context * self.position[0]
-        two = self.context * self.position[1]
-        out = np.empty(((CLASSES + 1) ** 2, CLASSES), dtype=np.float64)
-        for u in range(CLASSES + 1):
-            scores = ((one + two[u]) @ self.target.T + self.bias).astype(np.float64)
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-            out[u * (CLASSES + 1) : (u + 1) * (CLASSES + 1)] = scores / np.log(10)
-        return out
+        one[begins] = n_classes
+        two[begins] = n_classes
+        two[np.minimum(begins + 1, n - 1)[self.counts > 1]] = n_classes
+        return two * (n_classes + 1) + one
 
 
 class Adam:
@@ -110,6 +90,39 @@ def _contrast(scores: np.ndarray, offset: np.ndarray, seen: np.ndarray, noise: n
     return odds * (seen + noise) - seen
 
 
+@dataclass(frozen=True)
+class LogBilinear:
+    """score(w | u, v) = (weights_1 * r_v + weights_2 * r_u) . q_w + bias_w over classes."""
+
+    context: np.ndarray
+    target: np.ndarray
+    position: np.ndarray
+    bias: np.ndarray
+
+    def _blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each class u: scores (natural) after all pairs u, v, and the logarithms of their sums."""
+        one = self.context * self.position[0]
+        two = self.context * self.position[1]
+        for u in range(len(self.context)):
+            scores = ((one + two[u]) @ self.target.T + self.bias).astype(np.float64)
+            top = scores.max(axis=1, keepdims=True)
+            yield scores, top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
+
+    def log10_table(self) -> np.ndarray:
+        """log10 p(class | two classes before), for every context at once: matrix products, then normalisation."""
+        return np.concatenate([scores - norm for scores, norm in self._blocks()]) / np.log(10)
+
+    def norms(self) -> np.ndarray:
+        """The natural logarithm of the sum over classes, for every context."""
+        return np.concatenate([norm[:, 0] for _, norm in self._blocks()])
+
+    def log10(self, contexts: np.ndarray, classes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """log10 p(class | context) of single tokens."""
+        u, v = contexts // len(self.context), contexts % len(self.context)
+        predicted = self.position[0] * self.context[v] + self.position[1] * self.context[u]
+        return (np.einsum("ij,ij->i", predicted, self.target[classes]) + self.bias[classes] - norms[contexts]) / np.log(10)
+
+
 def train(
     codes: np.ndarray, counts: np.ndarray, dimensions: int = 32, steps: int | None = None, batch: int = 1024, noise_ratio: int = 16, rate: float = 0.04, seed: int = 5, classes: int = CLASSES, epochs: int = 12
 ) -> LogBilinear:
@@ -159,6 +172,62 @@ def train(
     return LogBilinear(context, target, position, bias)
 
 
+@dataclass(frozen=True)
+class WordModel:
+    """score(w | v) = r_v . q_w + bias_w over the words of a shape class; words are numbered class by class from `firsts`.
+
+    The last word of a class stands for all tokens of its shape that have no vector.
+    """
+
+    context: np.ndarray
+    target: np.ndarray
+    bias: np.ndarray
+    firsts: np.ndarray
+    norms: np.ndarray
+
+    def log10(self, before: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        return (np.einsum("ij,ij->i", self.context[before], self.target[words]) + self.bias[words] - self.norms[shapes, before]) / np.log(10)
+
+
+def train_words(before: np.ndarray, words: np.ndarray, counts: np.ndarray, firsts: np.ndarray, classes: int, dimensions: int = 32, epochs: int = 12, noise_ratio: int = 16, rate: float = 0.03, prior: float = 2.0, seed: int = 6) -> WordModel:
+    """The same estimation for words within their classes, from all counts of (class before, word).
+
+    A batch is a class with all its words and all classes before. `prior` draws the vectors of words with few counts to zero.
+    """
+    random = np.random.default_rng(seed)
+    n = int(firsts[-1])
+    context = random.normal(0, 0.3, (classes + 1, dimensions)).astype(np.float32)
+    target = np.zeros((n, dimensions), dtype=np.float32)
+    totals = np.bincount(words, weights=counts, minlength=n) + 0.5
+    shape = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    noise = (totals / np.bincount(shape, weights=totals, minlength=len(firsts) - 1)[shape]).astype(np.float32)
+    bias = np.log(noise)
+    order = np.argsort(words, kind="stable")
+    before, words, weight = before[order], words[order], counts[order].astype(np.float32)
+    cuts = np.searchsorted(words, firsts)
+    used = [c for c in range(len(firsts) - 1) if firsts[c + 1] - firsts[c] > 1 and cuts[c + 1] > cuts[c]]
+    steps = epochs * len(used)
+    adam = Adam([context], rate, steps)
+    own = {c: Adam([target[firsts[c] : firsts[c + 1]], bias[firsts[c] : firsts[c + 1]]], rate, epochs) for c in used}
+    for _ in range(epochs):
+        for c in random.permutation(used).astype(int).tolist():
+            lo, hi = cuts[c], cuts[c + 1]
+            q, b = own[c].parameters
+            share = noise[firsts[c] : firsts[c + 1]]
+            seen = np.zeros((classes + 1, len(q)), dtype=np.float32)
+            seen[before[lo:hi], words[lo:hi] - firsts[c]] = weight[lo:hi]
+            slope = _contrast(context @ q.T + b, np.log(noise_ratio * share), seen, seen.sum(axis=1, keepdims=True) * (noise_ratio * share))
+            at_context, at_words, at_bias = slope @ q, slope.T @ context, slope.sum(axis=0)
+            adam.move((at_context / weight[lo:hi].sum(),))
+            own[c].move((at_words + np.float32(prior) * q, at_bias))
+    norms = np.zeros((len(firsts) - 1, classes + 1))
+    for c in range(len(firsts) - 1):
+        scores = (context @ target[firsts[c] : firsts[c + 1]].T + bias[firsts[c] : firsts[c + 1]]).astype(np.float64)
+        top = scores.max(axis=1, keepdims=True)
+        norms[c] = (top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[:, 0]
+    return WordModel(context, target, bias, firsts, norms)
+
+
 _COUNTS = "token long, shape int, n long"
 
 
@@ -216,10 +285,11 @@ def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFra
     crc32(doc_id as text) modulo `modulus` is held_out are scored but not learned from. base_score is the smoothed unigram
     log10 probability, score that of the model: p(token) = p(class | classes of the two tokens before) * p(token | class).
 
-    The first factor is the log-bilinear model over 160 classes: the end, the 95 most frequent tokens, and 64 classes of all
-    others by first and last letters. It is trained on the counts of all class trigrams of the training rows, in full epochs without draws, of which there are at most
-    162 * 161 * 160 whatever the size of the corpus. The second factor is (c + 0.5) / (sum of c + 0.5 in the class, + 0.5 for its unknown tokens),
-    with c over all training tokens. So the probabilities of all known tokens and of one unknown token per class sum to 1.
+    The first factor is a log-bilinear model over classes: the end, the most frequent tokens alone (95 to 191, as the square root of the
+    vocabulary), and 64 classes of all others by first and last letters. The second is a log-bilinear model of the words within a class after the class before: each of the
+    65,536 most frequent tokens that are seen 5 times or more has a vector, and one word stands for all other tokens of the class, which share its
+    probability as (c + 0.5) / (sum of c + 0.5, + 0.5 for unknown tokens), with c over all training tokens. So the probabilities of all known
+    tokens and of one unknown token per class sum to 1. Both are trained on the counts of all training rows, in full epochs without draws.
 
     Counts are kept by 64-bit hash of the token (two of n distinct tokens share one with odds n * n / 2**65). The 65,536 most
     frequent are sent to the executors; the others' counts are joined to the documents' rare tokens, so hot tokens are never shuffled by
@@ -235,47 +305,105 @@ def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFra
     top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
     top_tokens = top.column("token").to_numpy().view(np.uint64) if top.num_rows else np.empty(0, dtype=np.uint64)
     top_counts = top.column("n").to_numpy() if top.num_rows else np.empty(0, dtype=np.int64)
-    names = [t for t in top_tokens.tolist() if t != END][:FREQUENT]
-    frequent = Members(np.array(names, dtype=np.uint64))
-    ranks = np.array([names.index(k) + 1 for k in frequent.keys.tolist()], dtype=np.int64)
-    alone = [k - (1 << 64) if k >= 1 << 63 else k for k in [*names, END]]
-    shared = {r["shape"]: r["total"] for r in counts.where(~F.col("token").isin(alone)).groupBy("shape").agg((F.sum("n") + 0.5 * F.count(F.lit(1))).alias("total")).collect()}
-    class_totals = np.log10(np.array([float(shared.get(shape, 0.0)) + 0.5 for shape in range(SHAPES)]))
-    size = (CLASSES + 1) ** 2 * CLASSES
-
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top_shapes = top.column("shape").to_numpy() if top.num_rows else np.empty(0, dtype=np.int32)
+    real = np.flatnonzero(top_tokens != END)
+    n_words = int((top_counts[real] >= LEAST_SEEN).sum())
+    n_frequent = min(max(FREQUENT, int(n_words**0.5)), MOST_FREQUENT)
+    names = top_tokens[real[:n_frequent]]
+    frequent = Members(names)
+    ranks = np.argsort(names, kind="stable") + 1
+    first_shape = 1 + len(names)
+    n_classes = first_shape + SHAPES
+    # words with vectors are numbered by class; the last number of a class is that of its other tokens
+    vocabulary = real[n_frequent:n_words]
+    vocabulary = vocabulary[np.argsort(top_shapes[vocabulary], kind="stable")]
+    firsts = np.searchsorted(top_shapes[vocabulary], np.arange(SHAPES + 1)) + np.arange(SHAPES + 1)
+    numbers = np.arange(len(vocabulary)) + top_shapes[vocabulary]
+    others = firsts[1:] - 1
+    order = np.argsort(top_tokens[vocabulary], kind="stable")
+    known_words, numbers = Members(top_tokens[vocabulary]), numbers[order]
+    totals_of = np.zeros(SHAPES)
+    for r in counts.where("shape >= 0").groupBy("shape").agg((F.sum("n") + 0.5 * F.count(F.lit(1))).alias("total")).collect():
+        totals_of[r["shape"]] = float(r["total"])
+    apart = np.concatenate((real[:n_frequent], vocabulary))
+    totals_of -= np.bincount(top_shapes[apart], weights=top_counts[apart] + 0.5, minlength=SHAPES)
+    class_totals = np.log10(totals_of + 0.5)
+    size = (n_classes + 1) ** 2 * n_classes
+
+    def numbered(tokens: Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens in shape classes: their places, word numbers, and whether the word is its class's other."""
+        at = np.flatnonzero(classes >= first_shape)
+        words = others[classes[at] - first_shape]
+        mine, which = known_words.find(tokens.hash[at])
+        words[mine] = numbers[which]
+        rest = np.ones(len(at), dtype=bool)
+        rest[mine] = False
+        return at, words, rest
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, counted = (np.concatenate(x) for x in zip(*held, strict=True))
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            return distinct, np.bincount(inverse, weights=counted, minlength=len(distinct)).astype(np.int64)
+
         for batch in batches:
             for _, _, raw, offsets in text_runs(batch.column(0)):
                 tokens = Tokens(raw, offsets)
                 classes = tokens.classes(frequent, ranks)
-                seen += np.bincount(tokens.contexts(classes) * CLASSES + classes, minlength=size)
+                contexts = tokens.contexts(classes, n_classes)
+                codes, n = np.unique(contexts * n_classes + classes, return_counts=True)
+                seen[codes] += n
+                at, words, _ = numbered(tokens, classes)
+                held.append(np.unique(words * (n_classes + 1) + contexts[at] % (n_classes + 1), return_counts=True))
+                if sum(len(x) for x, _ in held) > 3_000_000:
+                    held = [merged()]
         codes = np.flatnonzero(seen)
-        for at in range(0, len(codes), 100_000):
-            part = codes[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(seen[part])], names=["code", "n"])
-
-    gathered = training.mapInArrow(trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, n_seen = gathered.column("code").to_numpy(), gathered.column("n").to_numpy()
-    order = np.argsort(codes)
-    model = train(codes[order], n_seen[order])
+        # pairs of a class and a word are numbered beyond the trigrams
+        for keys, n in [(codes, seen[codes])] + [(x + size, n) for x, n in ([merged()] if held else [])]:
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(n[at : at + 100_000], pa.int64())], names=["code", "n"])
+
+    gathered = materialize(training.mapInArrow(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
+
+    def collected(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = part.toArrow()
+        codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+        order = np.argsort(codes)
+        return codes[order], n[order]
+
+    model = train(*collected(gathered.where(F.col("code") < size)), classes=n_classes)
+    norms = model.norms()
+    codes, n_seen = collected(gathered.where(F.col("code") >= size))
+    codes = codes - size
+    word_model = train_words(codes % (n_classes + 1), codes // (n_classes + 1), n_seen, firsts, n_classes)
+    del codes, n_seen
     order = np.argsort(top_tokens)
     head, head_logs = Members(top_tokens), _log(top_counts[order])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.log10_table().ravel()
         for batch in batches:
             for first, last, raw, offsets in text_runs(batch.column(2)):
                 tokens = Tokens(raw, offsets)
                 n = tokens.n_texts
                 classes = tokens.classes(frequent, ranks)
-                by_shape = classes > FREQUENT
-                gain = table[tokens.contexts(classes) * CLASSES + classes]
-                gain[by_shape] -= class_totals[classes[by_shape] - 1 - FREQUENT]
+                contexts = tokens.contexts(classes, n_classes)
+                gain = np.empty(len(classes))
+                for lo in range(0, len(classes), 1 << 16):
+                    gain[lo : lo + (1 << 16)] = model.log10(contexts[lo : lo + (1 << 16)], classes[lo : lo + (1 << 16)], norms)
+                inner, words, rest = numbered(tokens, classes)
+                shapes = classes[inner] - first_shape
+                for lo in range(0, len(inner), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    gain[inner[part]] += word_model.log10(contexts[inner[part]] % (n_classes + 1), words[part], shapes[part])
+                by_count = inner[rest]
+                gain[by_count] -= class_totals[shapes[rest]]
                 at, which = head.find(tokens.hash)
                 logs = np.zeros(len(classes))
                 logs[at] = head_logs[which]
-                gain[by_shape] += logs[by_shape]
+                gain[by_count] += logs[by_count]
                 rare = np.ones(len(classes), dtype=bool)
                 rare[at] = False
                 rare = np.flatnonzero(rare)

@@ -72,6 +72,20 @@ def test_lm_training_reads_every_code():
     assert np.array_equal(lm.train(codes, np.full(len(codes), 3), steps=9).context, lm.train(codes, np.full(len(codes), 3), steps=9).context)
 
 
+def test_lm_words_depend_on_the_class_before():
+    firsts = np.array([0, 4, 5, 12])
+    before, words = np.divmod(np.arange(11 * 12), 12)
+    counts = np.where(words == before, 400, 10)
+    model = lm.train_words(before, words, counts, firsts, 10, epochs=200)
+    for c in range(3):
+        own = np.arange(firsts[c], firsts[c + 1])
+        for v in range(11):
+            p = 10 ** model.log10(np.full(len(own), v), own, np.full(len(own), c))
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+            if v in own and len(own) > 1:
+                assert p[v - firsts[c]] > 0.6
+
+
 def test_lm_without_training_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
