@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,11 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which must be set. Local folders would lose what executors write."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quillsight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -33,6 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df needs."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def remainder_of_id(column: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -168,6 +177,84 @@ def shingle_hashes(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), words.text[: n - k + 1] == words.text[k - 1 :]
 
 
+def common_subsequence(a: np.ndarray, b: np.ndarray, lower: int | None = None, upper: int | None = None, block: int = 512) -> np.ndarray:
+    """For each item of a its place in b in a longest common subsequence of both, or -1.
+
+    lower, upper: only the band of places from i - lower to i + upper is looked at for item i of a. A row of the table is
+    one integer of a bit per place in the band; a zero marks a place where the length grows. Rows are kept for one block of items at a time, and
+    computed again from the block's first row on the way back, so memory is linear.
+    """
+    n, m = len(a), len(b)
+    out = np.full(n, -1, dtype=np.int64)
+    if not n or not m:
+        return out
+    lower, upper = (n if lower is None else lower), (m if upper is None else upper)
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    froms, tos = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
+
+    def window(first: int) -> tuple[int, int]:
+        lo = min(m, max(0, first - lower))
+        return lo, max(lo, min(m, first + block + upper))
+
+    def masks(first: int, last: int, lo: int, hi: int) -> list[int]:
+        known: dict[int, int] = {}
+        held = []
+        for i in range(first, last):
+            f, t = int(froms[i]), int(tos[i])
+            if f == t:
+                held.append(0)
+                continue
+            if f not in known:
+                places = order[f:t]
+                places = places[np.searchsorted(places, lo) : np.searchsorted(places, hi)] - lo
+                if len(places) < 16:
+                    known[f] = sum(1 << p for p in places.tolist())
+                else:
+                    bits = np.zeros(hi - lo, dtype=np.uint8)
+                    bits[places] = 1
+                    known[f] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            held.append(known[f])
+        return held
+
+    def rows(first: int, last: int, lo: int, hi: int, row: int) -> list[int]:
+        every = (1 << (hi - lo)) - 1
+        out = []
+        for mask in masks(first, last, lo, hi):
+            if mask:
+                match = row & mask
+                row = ((row + match) | (row - match)) & every
+            out.append(row)
+        return out
+
+    begins = list(range(0, n, block))
+    stored, row, before = [], 0, (0, 0)
+    for first in begins:
+        lo, hi = window(first)
+        row >>= lo - before[0]
+        row |= ((1 << (hi - lo)) - 1) & ~((1 << max(0, before[1] - lo)) - 1)
+        stored.append(row)
+        before = lo, hi
+        if first != begins[-1]:
+            row = rows(first, first + block, lo, hi, row)[-1]
+    j = m - 1
+    for first, begin in zip(reversed(begins), reversed(stored), strict=True):
+        last = min(n, first + block)
+        lo, hi = window(first)
+        held = [begin, *rows(first, last, lo, hi, begin)]
+        at = min(j, hi - 1) - lo
+        for i in range(last - 1, first - 1, -1):
+            if at < 0:
+                break
+            at = (~held[i - first + 1] & ((1 << (at + 1)) - 1)).bit_length() - 1
+            # a growth that the row before has at the same place isn't this item's
+            if at >= 0 and held[i - first] >> at & 1:
+                out[i] = at + lo
+                at -= 1
+        j = min(j, at + lo) if at >= 0 else min(j, lo - 1)
+    return out
+
+
 class Members:
     """A set of 64-bit hashes with a fast first test."""
 
