@@ -193,6 +193,7 @@ def signatures() -> list[Rule]:
         rows.append((label, rf"\b{name}\b(?!-)", 40))
         rows.append((label, rf"spdx-license-identifier:\s*{label}-\d\.\d(?![\w.+-])", 100))
     rows += _NOTICES
+    rows = list(dict.fromkeys(rows))
     rules = [Rule(label, gate_of(x), re.compile(x), priority) for label, x, priority in ((label, pattern.encode("latin-1"), priority) for label, pattern, priority in rows)]
     return sorted(rules, key=lambda r: -r.priority)
 
@@ -205,12 +206,27 @@ class Detection(NamedTuple):
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Detections by priority, then length, then place; one that lies in or merely overlaps a stronger one goes."""
+    """Detections by priority, then length, then place; one whose interval lies within that of an earlier one goes. Those that merely overlap stay.
+
+    For each detection in that order, the farthest end among earlier ones that begin no later tells whether one of them contains it: a tree of
+    prefix maxima over the places of beginnings, so n detections cost n log n.
+    """
+    starts = {at: i + 1 for i, at in enumerate(sorted({d.start for d in found}))}
+    farthest = [-1] * (len(starts) + 1)
     kept: list[Detection] = []
     for x in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(x.start < y.end and y.start < x.end for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda d: (d.start, d.end))
+        i, end = starts[x.start], -1
+        while i:
+            end = max(end, farthest[i])
+            i &= i - 1
+        if end >= x.end:
+            continue
+        kept.append(x)
+        i = starts[x.start]
+        while i < len(farthest):
+            farthest[i] = max(farthest[i], x.end)
+            i += i & -i
+    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
 class Scanner:
@@ -283,8 +299,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     span's priority / 100, 0.5 at least if a phrase stands there, else 0.
 
     Rules are tried in order of priority, each only on texts that hold the strings that its pattern cannot do without. Detections are accepted
-    by priority, then length, then place; what overlaps an accepted one goes, above all what lies within it. A null or
-    empty text has no words, empty labels and score 0; repeated rows give repeated results; no rows give no rows; other columns are ignored.
+    by priority, then length, then place; what lies within an accepted one goes (see resolve). Of equal intervals the one of the higher
+    priority stays, then the first label. A null or empty text has no words, empty labels and score 0; repeated rows give repeated results; no rows give no rows; other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +314,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 for i in range(last - first):
                     base, found = places.get(i, []), spans.get(i, [])
                     starts = [p for p, _ in base]
-                    content = words.bytes[offsets[i] : offsets[i + 1]] if found else None
-                    size = lambda at, content=content: len(content[:at].tobytes().decode("utf-8", "replace"))
+                    # characters before each place: bytes that don't continue one
+                    ends = np.cumsum((words.bytes[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80, dtype=np.int32) if found else None
+                    size = lambda at, ends=ends: int(ends[at - 1]) if at else 0
                     named = sorted({label for _, label in base})
                     score = max([d.priority / 100 for d in found] + [0.5] * bool(base), default=0.0)
                     rows.append((int(counts[i]), len(base), min(starts, default=None), max(starts, default=None), ",".join(named), ",".join(sorted({*named, *(d.label for d in found)})), score, len(found), [{"label": d.label, "start": size(d.start), "end": size(d.end), "priority": d.priority} for d in found]))

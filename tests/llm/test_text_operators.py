@@ -117,6 +117,54 @@ def test_toxicity(spark):
     assert kept.schema == docs.schema and kept.count() == len(rows + ODD) - sum(r.predicted for r in toxicity.score_toxicity(docs, grammar).collect())
 
 
+def read_by_hand(clause):
+    """The kind of each insult and threat of a clause, as the grammar's rules say it."""
+    for i, word in enumerate(clause):
+        if word not in ("idiot", "kill"):
+            continue
+        before = clause[:i]
+        negated, reported = "not" in before[-3:], "said" in before
+        aimed = "you" in before[-6:] or "you" in clause[i + 1 : i + 4]
+        if word == "idiot":
+            yield i, "negated" if negated else "reported" if reported else "targeted" if aimed else "plain"
+        elif aimed and not negated and not reported:
+            yield i, "threat"
+
+
+def test_composed_transducers_read_clauses_like_a_hand_written_automaton():
+    rng = random.Random(6)
+    matcher = toxicity.Matcher({common.word_hash(b"idiot"): (2.0, 1.0)})
+    factor = dict(zip(toxicity.KINDS, toxicity._FACTOR, strict=True))
+    texts = ["", "...", "idiot", "not " + "x " * 500 + "idiot"]
+    for _ in range(300):
+        clauses = [[rng.choice(["idiot", "kill", "you", "not", "said", *["w"] * rng.randint(1, 9)]) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 5))]
+        texts.append(rng.choice([". ", "! ", ", ", "\n", "; "]).join(" ".join(c) for c in clauses))
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    words = common.words_in(np.frombuffer("".join(texts).encode(), dtype=np.uint8), offsets, common.ALNUM, toxicity.STEMS)
+    found = matcher.matches(words)
+    expected = []
+    for i, text in enumerate(texts):
+        at = 0
+        for clause in re.split(r"[.!?;:,()\n\"]", text):
+            expected += [(i, at + j, kind) for j, kind in read_by_hand(clause.split())]
+            at += len(clause.split())
+    firsts = np.searchsorted(words.text, found.text)
+    assert list(zip(found.text.tolist(), (found.word - firsts).tolist(), [toxicity.KINDS[k] for k in found.kind], strict=True)) == expected
+    assert found.weight.tolist() == pytest.approx([(3.0 if kind == "threat" else 2.0) * factor[kind] for *_, kind in expected])
+    for w, lo, hi in zip(found.word, found.firsts[found.clause], found.lasts[found.clause], strict=True):
+        assert lo <= w <= hi and words.text[lo] == words.text[hi]
+
+
+def test_composition():
+    a, b = toxicity.scope(toxicity.NEGATION, 2, toxicity.NEGATED), toxicity.scope(toxicity.TARGET, None, toxicity.AIMED)
+    both = toxicity.compose(a, b)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        symbols = rng.choice([0, 1, 2, 3, 4, toxicity.INSULT, toxicity.THREAT], 30)
+        none, start = np.zeros(30, dtype=np.int64), np.array([0])
+        assert np.array_equal(both.run(symbols, none, start)[0], b.run(a.run(symbols, none, start)[0], none, start)[0])
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "you idiot"), (2, "they said he is no idiot"), (3, "we will kill you"), (4, "kind words")])
     grammar = toxicity.learn_grammar(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -144,12 +192,36 @@ def test_license_scan(spark):
     assert labels[2] == "apache,apache-2.0,mit" and labels[4] == "cc-by-nc-4.0" and labels[5] == "bsd-3-clause" and labels[3] == "gpl,gpl-3.0" and labels[6] == "" and labels[7] == "all-rights-reserved"
     for r in got:
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
-        spans = sorted((s.start, s.end) for s in r.spans)
-        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        # no interval lies within another
+        spans = sorted((s.start, -s.end) for s in r.spans)
+        assert all(a[0] < b[0] and a[1] > b[1] for a, b in zip(spans, spans[1:], strict=False))
+        text = (next(t for d, t in rows if d == r.doc_id) or "").lower()
+        assert all("licen" in text[s.start : s.end] or "rights" in text[s.start : s.end] or "cc by" in text[s.start : s.end] for s in r.spans)
     assert len(licenses.signatures()) > 300
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_detections_within_others_go():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [licenses.Detection(rng.choice("abc"), at, at + rng.randrange(1, 12), rng.choice([20, 40, 60])) for at in (rng.randrange(30) for _ in range(rng.randrange(40)))]
+        kept = []
+        for x in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+            if not any(y.start <= x.start and x.end <= y.end for y in kept):
+                kept.append(x)
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d.start, d.end, d.label))
+
+
+def test_many_notices_in_one_text(spark):
+    import time
+
+    text = "é Licensed under the MIT License, and the BSD license.\n" * 20_000
+    began = time.time()
+    got = licenses.scan_licenses(frame(spark, [(1, text)])).first()
+    assert got.n_found >= 40_000 and got.labels == "bsd,mit" and time.time() - began < 60
+    assert all(text[s.start : s.end].endswith(("License", "license")) for s in got.spans[-50:])
+
+
 def _examples(parsed, pick):
     """A text that a parsed pattern matches; pick(n) chooses among n alternatives or numbers of repeats."""
     out = b""
