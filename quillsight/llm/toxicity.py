@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,94 @@ REPORTS = (
 
 #: Prefix lengths, in bytes, for which the insult transducer can learn an arc; 0 stands for the whole word.
 STEMS = (4, 5, 6, 7, 8)
-#: What one match adds by its kind before weights are learned.
+#: What a match can be read as, and what its weight is multiplied by.
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 _FACTOR = (1.0, 1.25, 0.4, 0.6, 1.0)
-N_FEATURES = 4 + len(KINDS)
+_THREAT = 3.0
+#: Of a text: 1, its strongest clause, its strongest match, the sum, the sum per hundred words, and the sum of each kind.
+N_FEATURES = 5 + len(KINDS)
+
+#: The transducers' alphabet: other words, the end of a clause, the three contexts, then insults and threats with their marks.
+OTHER, CLAUSE_END, TARGET, NEGATION, REPORT, INSULT = range(6)
+NEGATED, REPORTED, AIMED = 1, 2, 4
+THREAT = INSULT + 8
+SYMBOLS = THREAT + 8
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted finite-state transducer: from (state, symbol) the next state, the symbol put out, and a weight to multiply by."""
+
+    next: np.ndarray
+    out: np.ndarray
+    weight: np.ndarray
+
+    @cached_property
+    def after_others(self) -> np.ndarray:
+        """The state after so many other words (columns); beyond the last column it stays as it is."""
+        columns = [np.arange(len(self.next))]
+        while len(columns) < 2 or not np.array_equal(columns[-1], columns[-2]):
+            columns.append(self.next[columns[-1], OTHER])
+        return np.stack(columns, axis=1)
+
+    def run(self, symbols: np.ndarray, others: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output and weight of every symbol. others: how many other words stand before it in its clause; starts: where clauses begin.
+
+        All clauses are read at once, symbol by symbol.
+        """
+        out, weight = np.zeros_like(symbols), np.ones(len(symbols))
+        skip = np.minimum(others, self.after_others.shape[1] - 1)
+        sizes = np.diff(np.append(starts, len(symbols)))
+        order = np.argsort(-sizes, kind="stable")
+        longest, state = sizes[order], np.zeros(len(starts), dtype=np.int64)
+        for k in range(int(longest[0]) if len(longest) else 0):
+            n = int(np.searchsorted(-longest, -k, side="left"))
+            at = starts[order[:n]] + k
+            here, x = self.after_others[state[:n], skip[at]], symbols[at]
+            out[at], weight[at], state[:n] = self.out[here, x], self.weight[here, x], self.next[here, x]
+        return out, weight
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that puts the first one's output through the second, with the pairs of states that can be reached."""
+    names = {(0, 0): 0}
+    rows = []
+    for a, b in (todo := [(0, 0)]):
+        middle = first.out[a]
+        ahead = list(zip(first.next[a].tolist(), second.next[b, middle].tolist(), strict=True))
+        for pair in ahead:
+            if pair not in names:
+                names[pair] = len(names)
+                todo.append(pair)
+        rows.append(([names[pair] for pair in ahead], second.out[b, middle], first.weight[a] * second.weight[b, middle]))
+    return Transducer(*(np.array(x) for x in zip(*rows, strict=True)))
+
+
+def scope(trigger: int, words: int | None, mark: int) -> Transducer:
+    """Marks insults and threats that stand within so many words after the trigger in its clause (None: anywhere after it). Its state is the words left."""
+    n = 1 if words is None else words
+    state, symbol = np.meshgrid(np.arange(n + 1), np.arange(SYMBOLS), indexing="ij")
+    left = state if words is None else np.maximum(state - 1, 0)
+    ahead = np.where(symbol == trigger, n, np.where(symbol == CLAUSE_END, 0, left))
+    out = np.where((symbol >= INSULT) & (state > 0), ((symbol - INSULT) | mark) + INSULT, symbol)
+    return Transducer(ahead, out, np.ones(out.shape))
+
+
+def reading() -> Transducer:
+    """Puts out 1 + the kind of a marked insult or threat, else 0: negation comes before report, report before a target. A threat needs a target, and nothing else."""
+    out, weight = np.zeros((1, SYMBOLS), dtype=np.int64), np.ones((1, SYMBOLS))
+    for marks in range(8):
+        kind = "negated" if marks & NEGATED else "reported" if marks & REPORTED else "targeted" if marks & AIMED else "plain"
+        out[0, INSULT + marks] = 1 + KINDS.index(kind)
+        if kind == "targeted":
+            out[0, THREAT + marks] = 1 + KINDS.index("threat")
+    weight[0] = np.where(out[0] > 0, np.array(_FACTOR)[out[0] - 1], 1.0)
+    return Transducer(np.zeros_like(out), out, weight)
+
+
+#: Read from a clause's beginning: negation, reported speech, a target before. Then, from its end: a target after, and the reading.
+FORWARD = reduce(compose, (scope(NEGATION, 3, NEGATED), scope(REPORT, None, REPORTED), scope(TARGET, 6, AIMED)))
+BACKWARD = compose(scope(TARGET, 3, AIMED), reading())
 
 
 @dataclass(frozen=True)
@@ -44,87 +129,89 @@ class Grammar:
     weights: tuple[float, ...]
 
 
+class Matches(NamedTuple):
+    """The matches of a run of texts, in order: word, text, clause, kind and weight of each; and each clause's first and last word."""
+
+    word: np.ndarray
+    text: np.ndarray
+    clause: np.ndarray
+    kind: np.ndarray
+    weight: np.ndarray
+    firsts: np.ndarray
+    lasts: np.ndarray
+
+
 class Matcher:
-    """Runs the composed transducers over the clauses that hold an insult or a threat."""
+    """Puts words through the lexical arcs, and the clauses with an insult or a threat through the composed transducers."""
 
     def __init__(self, arcs: dict[int, tuple[float, float]]):
         self.insults = Members(np.array(list(arcs), dtype=np.uint64))
-        self.insult_weights = [arcs[k] for k in self.insults.keys.tolist()]
-        self.kinds: dict[int, str] = {}
-        for kind, listed in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
+        self.arcs = np.array([arcs[k] for k in self.insults.keys.tolist()]).reshape(-1, 2)
+        symbols: dict[int, int] = {}
+        for symbol, listed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for word in listed:
-                self.kinds.setdefault(word_hash(word.encode()), kind)
-        self.threats = Members(np.array([h for h, kind in self.kinds.items() if kind == "threat"], dtype=np.uint64))
-
-    def matches(self, words) -> dict[int, list[tuple[int, int, str, float]]]:
-        """Per text, its matches: first word and last word of the clause's part read (words of the run), kind, weight."""
-        best: dict[int, tuple[float, float]] = {}
-        for hashes in (words.hash, *words.prefixes.values()):
-            at, rank = self.insults.find(hashes)
-            for i, r in zip(at.tolist(), rank.tolist(), strict=True):
-                weight, gain = self.insult_weights[r]
-                best[i] = max(best.get(i, (-1.0, 0.0)), (gain, weight))
-        strength = {i: weight for i, (_, weight) in best.items()}
-        threats = {i for i in self.threats.find(words.hash)[0].tolist() if i not in strength}
-        out: dict[int, list[tuple[int, int, str, float]]] = defaultdict(list)
-        for i in sorted({*strength, *threats}):
-            kind, lo, hi = self._read(words, i)
-            if i in threats:
-                if kind != "targeted":
-                    continue
-                kind = "threat"
-            out[int(words.text[i])].append((lo, hi, kind, strength.get(i, 3.0) * _FACTOR[KINDS.index(kind)]))
-        return out
-
-    def _read(self, words, i: int) -> tuple[str, int, int]:
-        """The automaton over up to eight words before the hit and three after it, within its clause.
-
-        States: plain; after a target (for six words), a negation (for three) or a verb of reporting (to the clause's end).
-        """
-        lo = hi = i
-        while lo > 0 and i - lo < 8 and words.text[lo - 1] == words.text[i] and not self._ends(words, lo - 1):
-            lo -= 1
-        while hi + 1 < len(words.hash) and hi - i < 3 and words.text[hi + 1] == words.text[i] and not self._ends(words, hi):
-            hi += 1
-        target = negation = -99
-        report = False
-        for j in range(lo, i):
-            kind = self.kinds.get(int(words.hash[j]))
-            if kind == "target":
-                target = j
-            elif kind == "negation":
-                negation = j
-            elif kind == "report":
-                report = True
-        aimed = i - target <= 6 or any(self.kinds.get(int(words.hash[j])) == "target" for j in range(i + 1, hi + 1))
-        state = "negated" if i - negation <= 3 else "reported" if report else "targeted" if aimed else "plain"
-        return state, lo, hi
-
-    @staticmethod
-    def _ends(words, j: int) -> bool:
-        """Whether a clause ends between word j and the next."""
-        gap = words.bytes[words.end[j] : words.start[j + 1]]
-        return bool(np.isin(gap, _STOPS).any())
-
-    def features(self, column: pa.Array) -> Iterator[np.ndarray]:
+                symbols.setdefault(word_hash(word.encode()), symbol)
+        self.contexts = Members(np.array(list(symbols), dtype=np.uint64))
+        self.symbols = np.array([symbols[h] for h in self.contexts.keys.tolist()])
+
+    def _symbols(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of every word, and what an insult or a threat weighs; of several arcs that fit a word the most significant one counts."""
+        symbols, strength = np.zeros(len(words.hash), dtype=np.int64), np.zeros(len(words.hash))
+        at, which = self.contexts.find(words.hash)
+        symbols[at] = self.symbols[which]
+        strength[at] = _THREAT
+        found = [self.insults.find(hashes) for hashes in (words.hash, *words.prefixes.values())]
+        at, which = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((self.arcs[which, 0], self.arcs[which, 1], at))
+        symbols[at] = INSULT
+        strength[at[order]] = self.arcs[which[order], 0]
+        return symbols, strength
+
+    def matches(self, words) -> Matches:
+        symbols, strength = self._symbols(words)
+        hits = np.flatnonzero(symbols >= INSULT)
+        if not len(hits):
+            none = np.empty(0, dtype=np.int64)
+            return Matches(none, none, none, none, np.empty(0), none, none)
+        stops = np.concatenate(([0], np.cumsum(_STOP[words.bytes], dtype=np.int32)))
+        ends = (words.text[1:] != words.text[:-1]) | (stops[words.start[1:]] > stops[words.end[:-1]])
+        clause = np.concatenate(([0], np.cumsum(ends)))
+        events = np.flatnonzero((symbols > 0) & np.isin(clause, clause[hits]))
+        own = clause[events]
+        fresh = np.concatenate(([True], own[1:] != own[:-1]))
+        firsts = np.concatenate(([0], np.flatnonzero(ends) + 1))
+        lasts = np.append(firsts[1:], len(clause)) - 1
+        before = np.where(fresh, firsts[own], np.concatenate(([0], events[:-1] + 1)))
+        after = np.where(np.append(fresh[1:], True), lasts[own], np.append(events[1:] - 1, 0))
+        marked, one = FORWARD.run(symbols[events], events - before, np.flatnonzero(fresh))
+        last = np.flatnonzero(np.append(fresh[1:], True))
+        kinds, two = BACKWARD.run(marked[::-1], (after - events)[::-1], (len(events) - 1 - last)[::-1])
+        kinds, weight = kinds[::-1] - 1, strength[events] * one * two[::-1]
+        found = np.flatnonzero(kinds >= 0)
+        return Matches(events[found], words.text[events[found]], own[found], kinds[found], weight[found], firsts, lasts)
+
+    def features(self, column: pa.Array) -> Iterator[tuple[np.ndarray, object, Matches]]:
+        """Per run of texts: a row of features for each, its words and matches."""
         for first, last, raw, offsets in text_runs(column):
+            n = last - first
             words = words_in(raw, offsets, ALNUM, STEMS)
-            out = np.zeros((last - first, N_FEATURES))
+            found = self.matches(words)
+            out = np.zeros((n, N_FEATURES))
             out[:, 0] = 1.0
-            counts = np.bincount(words.text, minlength=last - first)
-            for text, found in self.matches(words).items():
-                clause: dict[int, float] = defaultdict(float)
-                for lo, _, kind, weight in found:
-                    clause[lo] += weight
-                    out[text, 4 + KINDS.index(kind)] += weight
-                out[text, 1] = max(clause.values())
-                out[text, 2] = sum(w for *_, w in found)
-                out[text, 3] = 100 * out[text, 2] / max(20, counts[text])
+            if len(found.word):
+                clauses, at = np.unique(found.clause, return_inverse=True)
+                of_clause = np.bincount(at, weights=found.weight)
+                np.maximum.at(out[:, 1], words.text[found.firsts[clauses]], of_clause)
+                np.maximum.at(out[:, 2], found.text, found.weight)
+                out[:, 3] = np.bincount(found.text, weights=found.weight, minlength=n)
+                out[:, 4] = 100 * out[:, 3] / np.maximum(20, np.bincount(words.text, minlength=n))
+                out[:, 5:] = np.bincount(found.text * len(KINDS) + found.kind, weights=found.weight, minlength=n * len(KINDS)).reshape(n, -1)
             out[:, 1:] = np.log1p(out[:, 1:])
-            yield out
+            yield out, words, found
 
 
-_STOPS = np.frombuffer(b".!?;:,()\n\"", dtype=np.uint8)
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".!?;:,()\n\"")] = True
 
 
 def _score(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -183,6 +270,8 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_00
     least_texts toxic texts hold, with high log odds (less their standard error) and a high likelihood ratio; the
     most_arcs with the highest ratio are kept, beside the hand-made list. Where several arcs fit a word, the most significant one
     counts. The weights of matches come from a logistic regression in which each half of the sample is read with arcs learned on the other.
+    Labels without an id or a value are ignored, of several for one id the largest counts; rows of docs that share an id share its label; without
+    labels of both kinds only the hand-made list is used.
     """
     sample = materialize(_labelled(docs, labels, most_labelled), "labelled")
     sizes = {(int(r["fold"]), r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -203,7 +292,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_00
                 for fold, matcher in enumerate(matchers):
                     mine = np.flatnonzero(folds == fold)
                     if len(mine):
-                        x[mine] = np.concatenate(list(matcher.features(batch.column(0).take(pa.array(mine)))))
+                        x[mine] = np.concatenate([own for own, _, _ in matcher.features(batch.column(0).take(pa.array(mine)))])
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
         rows = sample.select("text", "toxic", F.col("fold").cast("int").alias("fold")).mapInArrow(gather, "toxic int, x array<double>").toArrow()
@@ -213,19 +302,40 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_00
     return Grammar(arcs, tuple(float(w) for w in weights))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; weights of matches are held at zero or above, so that a match never lowers a score."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:
+    """Ridge logistic regression; weights of matches are held at zero or above, so that a match never lowers a score.
+
+    Projected Newton steps: a weight at zero that would fall takes no part in a step, and a step is halved until the loss falls.
+    """
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-4
+    bounded = np.arange(len(w)) > 0
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         p = _score(x, w)
         gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
-        w[1:] = np.maximum(w[1:], 0.0)
-        if np.abs(step).max() < 1e-8:
+        free = np.flatnonzero(~(bounded & (w <= 0) & (gradient > 0)))
+        hessian = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + np.diag(penalty[free] + 1e-9)
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(hessian, gradient[free])
+        size = 1.0
+        while size > 1e-6:
+            ahead = w - size * step
+            ahead[bounded] = np.maximum(ahead[bounded], 0.0)
+            if (new := loss(ahead)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - new < 1e-9 * max(1.0, now)
+        w, now = ahead, new
+        if done:
             break
     return w
 
@@ -237,7 +347,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, held_out, score, predicted, n_matches, worst_clause, worst_kind for every row of docs (doc_id, text).
 
     Only the text is scored. Its matches are the readings of the grammar: an insult, plain, aimed at a target, negated or reported,
-    or a threat with a target, each within one clause; worst_clause is the text of the strongest one. Texts are not shuffled. Null and empty texts have no match and
+    or a threat with a target, each within one clause; worst_clause is the clause of the strongest one, A-Z lower-cased, the first among equals. Texts are not shuffled. Null and empty texts have no match and
     the score of such texts; repeated rows give repeated results; no rows give no rows; other columns are ignored.
     """
 
@@ -245,18 +355,17 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
         matcher, weights = Matcher(grammar.arcs), np.array(grammar.weights)
         for batch in batches:
             at = 0
-            for (first, last, raw, offsets), x in zip(text_runs(batch.column(2)), matcher.features(batch.column(2)), strict=True):
-                n = last - first
+            for x, words, found in matcher.features(batch.column(2)):
+                n = len(x)
                 s = _score(x, weights)
-                worst, kinds, counts = [None] * n, [None] * n, np.zeros(n, dtype=np.int64)
-                hit = np.flatnonzero(x[:, 1] > 0)
-                for i in hit.tolist():
-                    own = words_in(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), ALNUM, STEMS)
-                    found = matcher.matches(own)[0]
-                    lo, hi, kinds[i], _ = max(found, key=lambda m: m[3])
-                    worst[i] = raw[offsets[i] : offsets[i + 1]][own.start[lo] : own.end[hi]].tobytes().decode("utf-8", "replace")
-                    counts[i] = len(found)
-                columns = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(counts), pa.array(worst, pa.string()), pa.array(kinds, pa.string())]
+                worst, kinds = [None] * n, [None] * n
+                order = np.lexsort((-found.word, found.weight, found.text))
+                for j in order[np.append(found.text[order][1:] != found.text[order][:-1], True)].tolist() if len(order) else ():
+                    i, lo, hi = int(found.text[j]), found.firsts[found.clause[j]], found.lasts[found.clause[j]]
+                    worst[i] = words.bytes[words.start[lo] : words.end[hi]].tobytes().decode("utf-8", "replace")
+                    kinds[i] = KINDS[found.kind[j]]
+                counts = np.bincount(found.text, minlength=n)
+                columns = [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(worst, pa.string()), pa.array(kinds, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
                 at += n
 
@@ -264,12 +373,13 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below 0.5."""
+    """The rows of docs, with all their columns, whose text scores below 0.5. Null and empty texts have no match and the score of such texts;
+    repeated rows fare alike; no rows give no rows; columns of any name pass through."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, weights = Matcher(grammar.arcs), np.array(grammar.weights)
         for batch in batches:
-            parts = [_score(x, weights) < 0.5 for x in matcher.features(batch.column("text"))]
+            parts = [_score(x, weights) < 0.5 for x, _, _ in matcher.features(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=bool)))
 
     return docs.mapInArrow(keep, docs.schema)
