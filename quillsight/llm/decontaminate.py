@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,118 +54,136 @@ def weighted_similarity(a: Counter, a_weights: dict[int, float], b: Counter, b_w
     return both / (sum(n * a_weights[s] for s, n in a.items()) + sum(n * b_weights[s] for s, n in b.items()) - both)
 
 
+def _fingerprint_sums(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Prefix sums of the weighted signs: a window's sums are the difference of two rows."""
+    sums = np.zeros((len(shingles) + 1, 64))
+    np.cumsum(_signs(shingles) * weights[:, None], axis=0, out=sums[1:])
+    return sums
+
+
+class HammingIndex:
+    """Fingerprints of 8 bytes by each of their bytes. Two that differ in `radius` bits at most have a byte that differs in radius // 8 at most."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        self.masks = _BLOCK_VALUES[_POPCOUNT <= radius // BLOCKS].astype(np.int64)
+        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.starts = [np.searchsorted(prints[self.order[b], b], np.arange(257)).astype(np.int32) for b in range(BLOCKS)]
+
+    def near(self, one: np.ndarray) -> np.ndarray:
+        """The rows of all fingerprints within the radius of this one."""
+        found = []
+        for b in range(BLOCKS):
+            values = int(one[b]) ^ self.masks
+            starts, ends = self.starts[b][values], self.starts[b][values + 1]
+            found += [self.order[b][x:y] for x, y in zip(starts[starts < ends].tolist(), ends[starts < ends].tolist(), strict=True)]
+        if not found:
+            return np.empty(0, dtype=np.int32)
+        rows = np.unique(np.concatenate(found))
+        return rows[_POPCOUNT[self.prints[rows] ^ one].sum(axis=1) <= self.radius]
+
+
 @dataclass
 class BenchmarkIndex:
-    """Items by length, with SimHash blocks."""
+    """Items by length, each length with an index of its fingerprints; and the shingles of all items, which tell windows that hold no item."""
 
     items: list[tuple[int, bytes]]
     k: int = 5
     similarity: float = 0.8
     radius: int = 23
-    lengths: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.words: list[np.ndarray] = []
-        for _, text in self.items:
-            raw = np.frombuffer(text, dtype=np.uint8)
-            self.words.append(words_in(raw, np.array([0, len(raw)]), ALNUM).hash)
-        self.shingles = [Counter(_shingles(w, self.k).tolist()) if len(w) else Counter() for w in self.words]
-        self.weights: dict[int, float] = {}
-        for w in self.words:
+        self.words = [words_in(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), ALNUM).hash for _, text in self.items]
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
             if len(w):
-                self.weights.update(zip(_shingles(w, self.k).tolist(), _weights(w, self.k).tolist(), strict=True))
-        self.totals = [sum(n * self.weights[s] for s, n in own.items()) for own in self.shingles]
-        self.holders: dict[int, list[int]] = defaultdict(list)
-        for i, own in enumerate(self.shingles):
-            for s in own:
-                self.holders[s].append(i)
-        self.lengths = sorted({len(w) for w in self.words if len(w)})
-        # short items (fewer than k words) are looked up by their own length
-        self.members = {size: Members(np.array([s for i, own in enumerate(self.shingles) if min(self.k, len(self.words[i])) == size for s in own], dtype=np.uint64)) for size in range(1, self.k + 1)}
-        self.members = {size: m for size, m in self.members.items() if len(m.keys)}
-        self.prints: dict[int, np.ndarray] = {}
-        self.by_length: dict[int, list[int]] = {n: [i for i, w in enumerate(self.words) if len(w) == n] for n in self.lengths}
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        reach = self.radius // BLOCKS
+                by_length[len(w)].append(i)
+        self.by_length = dict(sorted(by_length.items()))
+        self.index: dict[int, HammingIndex] = {}
+        self.totals = np.zeros(len(self.items))
+        keys: dict[int, list[np.ndarray]] = defaultdict(list)
         for n, own in self.by_length.items():
-            sums = np.stack([(_signs(_shingles(self.words[i], self.k)) * _weights(self.words[i], self.k)[:, None]).sum(axis=0) for i in own])
-            self.prints[n] = _fingerprints(sums)
+            prints = np.empty((len(own), BLOCKS), dtype=np.uint8)
             for row, i in enumerate(own):
-                for block in range(BLOCKS):
-                    near = np.flatnonzero(_POPCOUNT[_BLOCK_VALUES ^ self.prints[n][row, block]] <= reach)
-                    for value in near:
-                        self.blocks[n, block, int(value)].append(row)
-
-    def in_text(self, hashes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, float]]:
-        """(item row, first word, windows, similarity) of the items that a text holds. hits: by shingle size, positions and shingles."""
+                shingles, weights = _shingles(self.words[i], self.k), _weights(self.words[i], self.k)
+                self.totals[i] = weights.sum()
+                prints[row] = _fingerprints(_fingerprint_sums(shingles, weights)[-1:])[0]
+                keys[min(self.k, n)].append(shingles)
+            self.index[n] = HammingIndex(prints, self.radius)
+        # items of fewer than k words are one shingle of their own length
+        self.members = {size: Members(np.concatenate(own)) for size, own in sorted(keys.items())}
+        self.counted: dict[int, tuple[Counter, dict[int, float]]] = {}
+
+    def _similarity(self, shingles: np.ndarray, weights: np.ndarray, i: int) -> float:
+        """Of a window and item i, exactly."""
+        if i not in self.counted:
+            if len(self.counted) > 10_000:
+                self.counted.clear()
+            own = _shingles(self.words[i], self.k).tolist()
+            self.counted[i] = Counter(own), dict(zip(own, _weights(self.words[i], self.k).tolist(), strict=True))
+        own = shingles.tolist()
+        return weighted_similarity(Counter(own), dict(zip(own, weights.tolist(), strict=True)), *self.counted[i])
+
+    def in_text(self, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item row, first word, windows, similarity) of the items that a text holds."""
         found: dict[int, tuple[float, int, int]] = {}
-        seen: dict[int, dict[int, int]] = defaultdict(dict)
-        where: dict[int, list[int]] = defaultdict(list)
-        for positions, shingles in hits.values():
-            for p, s in zip(positions.tolist(), shingles.tolist(), strict=True):
-                for i in self.holders[s]:
-                    seen[i][s] = seen[i].get(s, 0) + 1
-                    where[i].append(p)
-        spans: dict[int, set[int]] = defaultdict(set)
-        for i, counts in seen.items():
-            n = len(self.words[i])
-            # a window as similar as asked holds that share of the item's weight, so this loses nothing
-            if sum(min(c, self.shingles[i][s]) * self.weights[s] for s, c in counts.items()) < self.similarity * self.totals[i] - 1e-9:
+        for size, members in self.members.items():
+            if len(hashes) < size:
                 continue
-            if n > len(hashes):
-                # one window, the whole text: few enough to be checked without a fingerprint
-                own, weights = _shingles(hashes, min(self.k, n)).tolist(), _weights(hashes, min(self.k, n)).tolist()
-                s = weighted_similarity(Counter(own), dict(zip(own, weights, strict=True)), self.shingles[i], self.weights)
-                if s >= self.similarity - 1e-12:
-                    found[i] = (s, 0, 1)
+            shingles, weights = _shingles(hashes, size), _weights(hashes, size)
+            known = np.zeros(len(shingles))
+            at, _ = members.find(shingles)
+            if not len(at):
                 continue
-            for p in where[i]:
-                spans[n].update(range(max(0, p - n + min(self.k, n)), min(p, len(hashes) - n) + 1))
-        for n, starts in spans.items():
-            starts = np.array(sorted(starts))
-            first = int(starts[0])
-            part = hashes[first : int(starts[-1]) + n]
-            own, weights = _shingles(part, min(self.k, n)), _weights(part, min(self.k, n))
-            own_weights = dict(zip(own.tolist(), weights.tolist(), strict=True))
-            sums = np.zeros((len(own) + 1, 64))
-            np.cumsum(_signs(own) * weights[:, None], axis=0, out=sums[1:])
-            width = n - min(self.k, n) + 1
-            at = starts - first
-            prints = _fingerprints(sums[at + width] - sums[at])
-            for row in range(len(starts)):
-                candidates = {i for block in range(BLOCKS) for i in self.blocks.get((n, block, int(prints[row, block])), ())}
-                for c in candidates:
-                    if int(_POPCOUNT[prints[row] ^ self.prints[n][c]].sum()) > self.radius:
-                        continue
-                    i = self.by_length[n][c]
-                    s = weighted_similarity(Counter(own[at[row] : at[row] + width].tolist()), own_weights, self.shingles[i], self.weights)
-                    if s >= self.similarity - 1e-12:
-                        best, where_, windows = found.get(i, (0.0, 0, 0))
-                        found[i] = (s, int(starts[row]), windows + 1) if s > best else (best, where_, windows + 1)
+            known[at] = weights[at]
+            known, every = (np.concatenate(([0.0], np.cumsum(x))) for x in (known, weights))
+            for n, index in self.index.items():
+                if min(self.k, n) != size:
+                    continue
+                # a document shorter than the item is one window
+                width = min(n, len(hashes)) - size + 1
+                # what a window shares with an item is known, and must be this share of the window's own weight
+                starts = np.flatnonzero(known[width:] - known[:-width] >= self.similarity * (every[width:] - every[:-width]) - 1e-9)
+                if len(starts):
+                    self._search(n, index, starts, width, shingles, weights, found)
         return [(i, p, windows, s) for i, (s, p, windows) in sorted(found.items())]
 
+    def _search(self, n: int, index: HammingIndex, starts: np.ndarray, width: int, shingles: np.ndarray, weights: np.ndarray, found: dict) -> None:
+        """Look up the windows' fingerprints among the items of n words, and check what is within the radius."""
+        while len(starts):
+            # windows of a stretch share prefix sums; a stretch has a bounded length
+            first, size = int(starts[0]), int(np.searchsorted(starts, starts[0] + _STRETCH))
+            here, starts = starts[:size], starts[size:]
+            last = int(here[-1]) + width
+            sums = _fingerprint_sums(shingles[first:last], weights[first:last])
+            prints = _fingerprints(sums[here - first + width] - sums[here - first])
+            for p, one in zip(here.tolist(), prints, strict=True):
+                for row in index.near(one).tolist():
+                    i = self.by_length[n][row]
+                    s = self._similarity(shingles[p : p + width], weights[p : p + width], i)
+                    if s >= self.similarity - 1e-12:
+                        best, where, windows = found.get(i, (0.0, 0, 0))
+                        found[i] = (s, p, windows + 1) if s > best else (best, where, windows + 1)
+
     def in_column(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
         """(row, items found) of the texts that hold any."""
         for first, _, raw, offsets in text_runs(column):
             words = words_in(raw, offsets, ALNUM)
-            hits: dict[int, dict[int, tuple[list, list]]] = defaultdict(dict)
+            touched = []
             for size, members in self.members.items():
                 hashes, whole = _raw_shingles(words, size)
                 at, _ = members.find(hashes)
-                at = at[whole[at]]
-                if not len(at):
-                    continue
-                texts = words.text[at]
-                cuts = np.flatnonzero(np.diff(texts)) + 1
-                for group in np.split(np.arange(len(at)), cuts):
-                    hits[int(texts[group[0]])][size] = (at[group], hashes[at[group]])
-            for text, own in hits.items():
+                touched.append(words.text[at[whole[at]]])
+            for text in np.unique(np.concatenate(touched)).tolist() if touched else ():
                 lo, hi = np.searchsorted(words.text, [text, text + 1])
-                found = self.in_text(words.hash[lo:hi], {size: (p - lo, s) for size, (p, s) in own.items()})
-                if found:
+                if found := self.in_text(words.hash[lo:hi]):
                     yield first + text, found
 
 
+#: Windows that begin within so many words of each other are fingerprinted together.
+_STRETCH = 4096
+
+
 def _raw_shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hash)
     if n < k:
@@ -173,10 +191,11 @@ def _raw_shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return _shingles(words.hash, k), words.text[: n - k + 1] == words.text[k - 1 :]
 
 
-def benchmark_items(benchmark: DataFrame, most_bytes: int = 32 << 20) -> Iterator[list[tuple[int, bytes]]]:
+def benchmark_items(benchmark: DataFrame, most_bytes: int = 8 << 20) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in blocks of at most most_bytes of text (one item more where a single one is longer).
 
-    Each block is one pass over the documents, so what is sent to the executors has a bound at any size of the benchmark.
+    Each block is one pass over the documents. Its index is built once, on the driver, and takes about five times the block's bytes (40 MB), so what is sent to
+    the executors has a bound at any size of the benchmark.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").distinct().sort("item_id", "text")
     block, size = [], 0
@@ -201,16 +220,16 @@ LEAKS = T.StructType(
 )
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, k: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, k: int = 5, most_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, first_word, n_windows, similarity: one row per document and benchmark item that it holds.
 
-    Words are runs of letters and digits, A-Z lower-cased. Each window as long as an item (in words) has a 64-bit SimHash of its weighted
+    Words are runs of letters and digits, A-Z lower-cased. A window as long as an item (in words) has a 64-bit SimHash of its weighted
     k-word shingles. Fingerprints are cut into 8 blocks; within radius 23 at least one block differs in two
-    bits at most, so the block index finds every fingerprint within the radius. Those are
+    bits at most, so the block index of the items of that length gives every fingerprint within the radius. Those items are
     checked exactly: the weighted Jaccard similarity of window and item must reach `similarity`. A shingle weighs
-    as much as it has different words. Windows that share no shingle with an item, or too little weight, can't reach it and
-    get no fingerprint; that test is exact. A document shorter than an item is one window, and checked exactly at once: a
-    benchmark item without a few words is a leak too. first_word is the best window's, n_windows counts the windows.
+    as much as it has different words. Only windows are fingerprinted of whose weight that share lies in shingles that occur in any item at all; others can't
+    reach it, whichever the item. A document shorter than an item is one window: a
+    benchmark item without a few words is a leak too. first_word is the best window's, the first among equals; n_windows counts the windows.
 
     Texts are read once per block of benchmark items and never shuffled. Null and empty texts hold nothing; items without words
     are ignored; items shorter than k words are one shingle; equal items are all reported; repeated rows give repeated
@@ -219,11 +238,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     out = docs.sparkSession.createDataFrame([], LEAKS)
     for items in benchmark_items(benchmark, most_bytes):
 
-        def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(items, k, similarity, radius)
+        def search(batches: Iterator[pa.RecordBatch], index=BenchmarkIndex(items, k, similarity, radius)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0)
-                rows = [(ids[row].as_py(), items[i][0], p, windows, s) for row, found in index.in_column(batch.column(1)) for i, p, windows, s in found]
+                rows = [(ids[row].as_py(), index.items[i][0], p, windows, s) for row, found in index.in_column(batch.column(1)) for i, p, windows, s in found]
                 columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=LEAKS.names)
 
@@ -231,12 +249,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, k: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item. Nothing is shuffled."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, k: int = 5, most_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item. Nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; repeated rows fare alike; empty tables take nothing away; columns of any name pass through. See find_leaks.
+    """
     for items in benchmark_items(benchmark, most_bytes):
 
-        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(items, k, similarity, radius)
+        def clean(batches: Iterator[pa.RecordBatch], index=BenchmarkIndex(items, k, similarity, radius)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for row, _ in index.in_column(batch.column("text")):

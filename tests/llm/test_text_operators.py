@@ -417,11 +417,26 @@ def test_documents_shorter_than_an_item(spark):
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     index = dc.BenchmarkIndex([(i, " ".join(f"w{rng.integers(500)}" for _ in range(20)).encode()) for i in range(30)])
-    own = index.prints[20]
+    own = index.index[20].prints
     for _ in range(300):
         row = int(rng.integers(len(own)))
         flips = rng.choice(64, int(rng.integers(0, 24)), replace=False)
         bits = np.unpackbits(own[row])
         bits[flips] ^= 1
         value = np.packbits(bits)
-        assert any(row in index.blocks.get((20, b, int(value[b])), ()) for b in range(dc.BLOCKS))
+        assert row in index.index[20].near(value)
+        assert set(index.index[20].near(value)) == {i for i in range(len(own)) if np.unpackbits(own[i] ^ value).sum() <= 23}
+
+
+def test_windows_of_long_documents_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{rng.integers(300)}" for _ in range(40)).encode()) for i in range(20)]
+    index = dc.BenchmarkIndex(items)
+    text = np.concatenate([index.words[int(rng.integers(20))] if rng.random() < 0.3 else rng.integers(1, 2**62, 40, dtype=np.uint64) for _ in range(5000)])
+    tracemalloc.start()
+    found = index.in_text(text)
+    assert len(found) == 20 and all(s == pytest.approx(1) for *_, s in found)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
