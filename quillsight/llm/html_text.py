@@ -10,10 +10,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
-from .common import materialize
+from .common import common_subsequence, materialize
 from .url_filter import host_of, path_of
 
 #: Elements that begin and end a line.
@@ -127,30 +128,10 @@ def page_lines(page: str) -> list[Line]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence of both lists, by bit-parallel rows of a table."""
-    places: dict[str, int] = {}
-    for j, line in enumerate(b):
-        places[line] = places.get(line, 0) | 1 << j
-    if not any(line in places for line in a):
-        return set()
-    every = (1 << len(b)) - 1
-    row, rows = every, []
-    for line in a:
-        match = row & places.get(line, 0)
-        row = ((row + match) | (row - match)) & every
-        rows.append(row)
-    out, j = set(), len(b) - 1
-    for i in range(len(a) - 1, -1, -1):
-        # zeros of a row mark the columns where the length grows
-        while j >= 0 and rows[i] >> j & 1:
-            j -= 1
-        if j < 0:
-            break
-        if i and not rows[i - 1] >> j & 1:
-            continue
-        out.add(i)
-        j -= 1
-    return out
+    """Positions in a of a longest common subsequence of both lists, in memory that is linear in them."""
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(line, len(numbers)) for line in lines], dtype=np.int64) for lines in (a, b))
+    return set(np.flatnonzero(common_subsequence(x, y) >= 0).tolist())
 
 
 #: Another page that has this share of an article's characters is a copy of it, and tells nothing about boilerplate.

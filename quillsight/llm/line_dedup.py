@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 _NO_SITE = "\u0000"
 
@@ -50,25 +50,27 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, lg_k: int = 12) -> DataFram
     A line is what stands between \\n; it counts whole and unchanged. Blank lines never go. The first place is the
     smallest (doc_id, text's md5, position), so that content which copies share stays once in the corpus. A null text
     stays null and has one line; a null source is a site of its own; rows with the same id and text are treated
-    alike; no rows give no rows. The result has the columns of docs, then n_lines and n_removed.
+    alike; no rows give no rows. The result has the columns of docs, then n_lines and n_removed; where docs has columns of these names they stay
+    as they are, and the new ones begin with an underscore (see common.fresh).
     """
-    clash = [c for c in ("n_lines", "n_removed") if c in docs.columns]
+    n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
+    g_id, g_key, g_pos, d_key = fresh(docs, "g_id", "g_key", "g_pos", "d_key")
     lines = materialize(line_spread(docs), "lines")
     wide = widespread_lines(lines, min_sites, lg_k)
     gone = (
         lines.join(wide, "key")
         .where(F.struct("doc_id", "doc_key", "pos") != F.col("first"))
-        .groupBy(F.col("doc_id").alias("_g_id"), F.col("doc_key").alias("_g_key")).agg(F.collect_set("pos").alias("_g_pos"))
+        .groupBy(F.col("doc_id").alias(g_id), F.col("doc_key").alias(g_key)).agg(F.collect_set("pos").alias(g_pos))
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    mine = docs.drop(*clash).withColumn("_d_key", F.unhex(F.md5(text.cast("binary"))))
-    joined = mine.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.col("_d_key") == F.col("_g_key")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_g_pos", i))
-    cleaned = F.when(F.col("_g_pos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    mine = docs.withColumn(d_key, F.unhex(F.md5(text.cast("binary"))))
+    joined = mine.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(d_key) == F.col(g_key)), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(g_pos, i))
+    cleaned = F.when(F.col(g_pos).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in clash],
-        F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_g_pos"), F.lit(0)).cast("long").alias("n_removed"),
+        *[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.size(F.split(text, "\n", -1)).cast("long").alias(n_lines),
+        F.coalesce(F.size(g_pos), F.lit(0)).cast("long").alias(n_removed),
     )
 
 

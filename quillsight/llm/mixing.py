@@ -7,38 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
+from .ranking import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
-    """One row per source with its target. sizes: source, source_size.
+    """source, source_size, target: one row per source, with its target. sizes: source, source_size.
 
     Sources take the weights in code-point order (null last), in turn. A target stops at most_epochs times its
-    source's size; what it leaves is shared by weight among the rest. That is a water level: with sources ordered by
-    cap / weight, the level is (all - caps filled so far) / weights left, at the first source that it doesn't reach.
-    The window spans one row per source, never documents.
+    source's size; what it leaves is shared by weight among the rest. That is a water level, (all - caps filled) / weights left: each round fills the
+    caps below the level, which lifts it, until no more are below. A round is one aggregation; no task sees all sources, and only sums reach the driver.
     """
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "place")
     rows = (
-        sizes.withColumn("place", F.row_number().over(by_name) - 1)
+        numbered(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "place")
         .withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
         .withColumn("cap", (F.col("source_size") * most_epochs).cast("double"))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(Window.partitionBy()).cast("double"))
-        .withColumn("filled", F.sum("cap").over(by_ratio) - F.col("cap"))
-        .withColumn("open", F.sum("weight").over(Window.partitionBy()) - (F.sum("weight").over(by_ratio) - F.col("weight")))
-        .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open"))
     )
-    first = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))
-    level = F.min(first).over(Window.partitionBy()).level
-    return rows.withColumn("at", level).select("source", "source_size", F.least("cap", F.col("at") * F.col("weight")).alias("target"))
+    total, all_weights = rows.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level, filled, below = 0.0, 0.0, 0.0
+    while total and below < all_weights:
+        level = (total - filled) / (all_weights - below)
+        more = rows.where(F.col("ratio") < level).agg(F.sum("cap"), F.sum("weight")).first()
+        if (more[0] or 0.0, more[1] or 0.0) == (filled, below):
+            break
+        filled, below = more[0] or 0.0, more[1] or 0.0
+    return rows.select("source", "source_size", F.least("cap", F.lit(float(level)) * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, key_digits: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
     A document's key is the md5 of its id, so the order within a source is random and the same in every run. The key
     space is cut into 16**key_digits ranges; the ranges' sums, then the rows within each range, give every
@@ -60,7 +60,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("skip", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs)
+    targets = source_targets(materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes"), weights, most_epochs)
     budgets = targets.select(
         F.col("source").alias("t_source"),
         "source_size",
@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs
         "before", F.col("skip") + F.coalesce(F.sum("size").over(within), F.lit(0))
     )
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("left") - F.col("before")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 MIX_SQL = """

@@ -1,13 +1,14 @@
 """Exact dedup, line dedup, URL filters and mixing against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillsight.llm import exact_dedup, line_dedup, mixing, url_filter
+from quillsight.llm import exact_dedup, line_dedup, mixing, ranking, url_filter
 
 DOCS = "doc_id long, text string, source string, keep_id string, size int"
 
@@ -66,9 +67,10 @@ def lines_by_hand(rows, least):
 def test_line_dedup(spark):
     rows = [(i, f"Shared banner\nown line {i}\n\nfooter {i % 2}\nShared banner" if i % 3 else f"only {i}", f"s{i % 12}") for i in range(60)]
     rows += [(90, None, "s1"), (91, "", None), (92, "Shared banner", None), (93, "two\ntwo", "s1"), (93, "other\ntwo", "s1"), (94, "own line 1\n" * 3000, "s2")]
-    got = line_dedup.line_dedup(documents(spark, rows).withColumn("n_lines", F.lit(1)), min_sites=5)
-    assert got.columns == ["doc_id", "text", "source", "keep_id", "size", "n_lines", "n_removed"]
-    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()]
+    got = line_dedup.line_dedup(documents(spark, rows).withColumn("n_lines", F.lit(42)).withColumn("g_pos", F.lit("user's")).withColumn("_g_id", F.lit(1)), min_sites=5)
+    assert got.columns == ["doc_id", "text", "source", "keep_id", "size", "n_lines", "g_pos", "_g_id", "_n_lines", "n_removed"]
+    assert got.where("n_lines <> 42 OR g_pos <> 'user''s' OR _g_id <> 1").count() == 0
+    got = [(r.doc_id, r.text, r._n_lines, r.n_removed) for r in got.collect()]
     key = lambda r: (r[0], r[1] or "", r[2:])
     assert sorted(got, key=key) == sorted(lines_by_hand(rows, 5), key=key)
 
@@ -110,6 +112,21 @@ def test_mixing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_places_without_a_window(spark):
+    rows = spark.createDataFrame([(f"s{(i * 7919) % 1000:04d}", i) for i in range(1000)] + [(None, -1)], "source string, source_size long")
+    for range_rows in (100_000, 90):
+        got = sorted((r.place, r.source) for r in ranking.numbered(rows.repartition(6), [F.col("source").asc_nulls_last()], "place", range_rows).collect())
+        assert got == [*((i, f"s{i:04d}") for i in range(1000)), (1000, None)]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    sizes = {f"h{i:05d}": rng.choice([0, 1, 5, 40, 900, rng.randrange(10**6)]) for i in range(700)}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    _, size, target = mix_by_hand([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())])
+    assert size == sizes and all(abs(got[s] - target[s]) < 1e-3 for s in sizes)
+
+
 URLS = [
     "http://example.org/es/1", "https://www.example.org/en/12", "http://example.org/en/2", "http://example.org", "http://EXAMPLE.org/ES/1", "http://shop.com/fr/x", "http://shop.com/de/",
     "http://notexample.org/es/", "http://spam.net/x", "http://a.b.spam.net/x", "http://xspam.net/", "no url", None, "http://h.net?x=http://spam.net/", "ftp://u#y", "", "http://spam.net", "http://clean.net/a",
