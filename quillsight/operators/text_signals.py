@@ -1,8 +1,8 @@
 """Per-document text signals: 0 reads as human-made, 1 as machine-made; 0.5 where a text is too short to tell.
 
-Every signal is computed within its row from arrays of words and sentences, so nothing is shuffled, whatever the size
-of the corpus. Words are tokenised once per sentence; the word list of a text is the sentences' lists joined. Counting
-goes over sorted arrays in one pass, so a text costs n log n.
+Every signal is computed within its row, so nothing is shuffled, whatever the size of the corpus. analyze_text reads each text once in an
+Arrow pass (text_pass). The same signals stand here as column expressions over arrays of words and sentences, for use within larger expressions; Spark interprets
+their lambdas, which costs about ten times as much. Tests hold both against each other, and the registered queries against SQL.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon, text as tx
+from .text_pass import Reader, read_texts
 
 STATS = (
     "char_count", "word_count", "sentence_count", "avg_sentence_len", "avg_word_len", "unique_words", "unique_ratio", "punctuation_count",
@@ -212,10 +213,8 @@ def weighted_score(signals: Sequence[Column], weights: Sequence[float]) -> Colum
 def analyze_text(docs: DataFrame, text: str = "text", weights: Sequence[float] | None = None, preset: str = "balanced", phrases: Sequence[tuple] = lexicon.PHRASES) -> DataFrame:
     """docs with the ten signals, the statistics, detected_phrases and ai_score as columns."""
     weights = lexicon.preset_weights(preset) if weights is None else weights
-    parts = with_parts(docs, text, phrases)
     own = [c for c in docs.columns if c not in {*lexicon.SIGNALS, *STATS, "detected_phrases", "ai_score"}]
-    columns = signal_columns(phrases)
-    out = parts.select(*own, *[c.alias(name) for name, c in columns.items()], *[c.alias(name) for name, c in stats_columns().items()], F.col("_found").alias("detected_phrases"))
+    out = read_texts(docs, (*lexicon.SIGNALS, *STATS, "detected_phrases"), text, lambda: Reader(phrases), own)
     return out.withColumn("ai_score", weighted_score([F.col(name) for name in lexicon.SIGNALS], weights))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon, routing, text as tx
 from ..operators import store, text_signals as ts, verdicts
+from ..operators.text_pass import read_texts
 from ..streaming import rate_limit
 from . import text_sql
 
@@ -39,7 +40,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table that has fewer partitions than there are cores, dealt out to all cores; others as they are."""
+    """Rows of a table that has fewer partitions than there are cores, dealt out to all cores; others as they are.
+
+    The plan depends on the table's size here (one shuffle of a table too small to be split), the results don't.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
@@ -48,6 +52,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.with_parts(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
+def _read_documents(spark: SparkSession, sf_dir: str, wanted: Sequence[str], *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, and what one pass over the texts says of the wanted names."""
+    keep = ("doc_id", *keep)
+    return read_texts(spread(read(spark, sf_dir, "documents").select(*dict.fromkeys((*keep, "text")))), wanted, keep=keep)
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -60,7 +70,7 @@ _STATS_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in ("avg_sentence_len", "avg
 @query("text_stats", _with(BASE, f"SELECT k AS doc_id, {_STATS_SQL} FROM stats"))
 def text_stats(spark, sf_dir):
     rounded = ("avg_sentence_len", "avg_word_len", "unique_ratio", "flesch_kincaid_grade", "gunning_fog_index")
-    return _documents(spark, sf_dir).select("doc_id", *[_round(c, n) if n in rounded else c.alias(n) for n, c in ts.stats_columns().items()])
+    return _read_documents(spark, sf_dir, ts.STATS).select("doc_id", *[_round(n, n) if n in rounded else F.col(n) for n in ts.STATS])
 
 
 @query("token_frequency", _with(BASE, "SELECT lw AS token, count(*) AS n, count(DISTINCT k) AS n_docs FROM tok GROUP BY lw"))
@@ -90,7 +100,7 @@ def _signal(name: str) -> None:
 
     @query({"phrase_score": "phrase_score", "contractions_usage": "contraction_rate", "repetition_score": "repetition"}.get(name, name), sql)
     def one(spark, sf_dir):
-        return _documents(spark, sf_dir).select("doc_id", _round(ts.signal_columns()[name], name))
+        return _read_documents(spark, sf_dir, [name]).select("doc_id", _round(name, name))
 
 
 for _name in lexicon.SIGNALS:
@@ -120,20 +130,20 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("phrase_hits", _with(text_sql.base(MIXED), "SELECT k AS item_id, CAST(ord AS BIGINT) AS ord, pattern FROM n JOIN phrases ON contains(low, pattern)"))
 def phrase_hits(spark, sf_dir):
     order = F.create_map(*[F.lit(x) for i, _, pattern, _ in lexicon.PHRASES for x in (pattern, i)])
-    # outer, as a filter for empty arrays would be pushed down and compute them again
-    found = ts.with_parts(_mixed(spark, sf_dir)).select("item_id", F.explode_outer("_found").alias("pattern")).where("pattern IS NOT NULL")
+    found = read_texts(_mixed(spark, sf_dir), ["detected_phrases"], keep=["item_id"]).select("item_id", F.explode("detected_phrases").alias("pattern"))
     return found.select("item_id", F.element_at(order, F.col("pattern")).cast("long").alias("ord"), "pattern")
 
 
 @query("signals_examples", _with(text_sql.base(MIXED), "SELECT phrase_score.k AS item_id, array_to_string(found, '|') AS found, " + ", ".join(f"round({n}.x, 6) AS {n}" for n in lexicon.SIGNALS) + f" FROM {text_sql.SIGNAL_JOINS}"))
 def signals_examples(spark, sf_dir):
-    return ts.with_parts(_mixed(spark, sf_dir)).select("item_id", F.array_join("_found", "|").alias("found"), *[_round(c, n) for n, c in ts.signal_columns().items()])
+    rows = read_texts(_mixed(spark, sf_dir), [*lexicon.SIGNALS, "detected_phrases"], keep=["item_id"])
+    return rows.select("item_id", F.array_join("detected_phrases", "|").alias("found"), *[_round(n, n) for n in lexicon.SIGNALS])
 
 
 @query("ngram_entropy", _with(BASE, "SELECT k AS doc_id, CAST(size AS BIGINT) AS size, round(entropy, 6) AS entropy, kinds, repeated FROM gram_stats"))
 def ngram_entropy(spark, sf_dir):
-    both = F.array(*[F.struct(F.lit(n).cast("long").alias("size"), F.round(F.col(c).entropy, 6).alias("entropy"), F.col(c).kinds.cast("long").alias("kinds"), F.col(c).repeated.cast("long").alias("repeated")) for n, c in ((2, "_bigrams"), (3, "_trigrams"))])
-    return _documents(spark, sf_dir).select("doc_id", F.inline(both)).where("kinds > 0")
+    both = F.array(*[F.struct(F.lit(n).cast("long").alias("size"), F.round(F.col(c).entropy, 6).alias("entropy"), F.col(c).kinds.alias("kinds"), F.col(c).repeated.alias("repeated")) for n, c in ((2, "bigrams"), (3, "trigrams"))])
+    return _read_documents(spark, sf_dir, ["bigrams", "trigrams"]).select("doc_id", F.inline(both)).where("kinds > 0")
 
 
 @query("syllables", _with(BASE, "SELECT lw AS word, CAST(min(syllables) AS BIGINT) AS syllables FROM syl GROUP BY lw"))
@@ -154,13 +164,12 @@ def gunning_fog(spark, sf_dir):
 
 @query("signals_all", _with(BASE, "SELECT sentence_variance.k AS doc_id, " + ", ".join(f"round({n}.x, 6) AS {n}" for n in lexicon.SIGNALS) + f" FROM {text_sql.SIGNAL_JOINS}"))
 def signals_all(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", *[_round(c, n) for n, c in ts.signal_columns().items()])
+    return _read_documents(spark, sf_dir, lexicon.SIGNALS).select("doc_id", *[_round(n, n) for n in lexicon.SIGNALS])
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """doc_id, ai_score and the columns to keep."""
-    columns = ts.signal_columns()
-    signals = _documents(spark, sf_dir).select("doc_id", *keep, *[c.alias(n) for n, c in columns.items()])
+    signals = _read_documents(spark, sf_dir, lexicon.SIGNALS, *keep)
     return signals.select("doc_id", *keep, ts.weighted_score([F.col(n) for n in lexicon.SIGNALS], lexicon.preset_weights()).alias("ai_score"))
 
 
@@ -171,7 +180,7 @@ def score_default(spark, sf_dir):
 
 @query("score_by_preset", _with(BASE, " UNION ALL ".join(f"SELECT sentence_variance.k AS doc_id, '{p}' AS preset, round({text_sql.score(w)}, 6) AS ai_score FROM {text_sql.SIGNAL_JOINS}" for p, w in lexicon.PRESETS.items())))
 def score_by_preset(spark, sf_dir):
-    signals = _documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in ts.signal_columns().items()])
+    signals = _read_documents(spark, sf_dir, lexicon.SIGNALS)
     own = [F.col(n) for n in lexicon.SIGNALS]
     rows = F.array(*[F.struct(F.lit(p).alias("preset"), F.round(ts.weighted_score(own, w), 6).alias("ai_score")) for p, w in lexicon.PRESETS.items()])
     return signals.select("doc_id", F.inline(rows))

@@ -3,10 +3,12 @@
 import math
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillsight.functions import lexicon, text as tx
 from quillsight.operators import text_signals as ts, verdicts
+from quillsight.operators.text_pass import read_texts
 
 
 def one(spark, text, column):
@@ -70,6 +72,27 @@ def test_clashing_columns_nulls_and_long_texts(spark):
     assert ts.analyze_text(rows.limit(0)).count() == 0
 
 
+PIECES = st.sampled_from([
+    "The", "the", "cat", "COVID-19", "it’s", "isn't", "42", "x", "a", "I", "Straße", "ΟΔΟΣ", "İzmir", "résumé", "state-of-the-art", "agree", "syllables", "walked", "however", "I cannot provide", "²", "名前",
+    ".", ". ", "! ", "?\n", "... ", ", ", "; ", "—", "“", "\u00a0", "\u2028", "\t", " ", " ", "$", "_", "'", "-", "🙂",
+])
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=120).map("".join), min_size=1, max_size=30))
+def test_the_pass_equals_the_columns(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    parts = ts.with_parts(rows)
+    columns = {**ts.signal_columns(), **ts.stats_columns(), "detected_phrases": F.col("_found"), "bigrams": F.col("_bigrams"), "trigrams": F.col("_trigrams")}
+    wanted = {r.i: r for r in parts.select("i", *[c.alias(n) for n, c in columns.items()]).collect()}
+    for r in read_texts(rows, list(columns), keep=["i"]).collect():
+        for name in columns:
+            if name in ("bigrams", "trigrams"):
+                assert tuple(r[name]) == pytest.approx(tuple(wanted[r.i][name]), abs=1e-9), (name, texts[r.i])
+            else:
+                assert r[name] == (pytest.approx(wanted[r.i][name], abs=1e-9) if isinstance(r[name], float) else wanted[r.i][name]), (name, texts[r.i])
+
+
 def by_hand(words):
     """Entropy of bigrams and gap variation, the slow way."""
     low = [w.lower() for w in words]
