@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,22 +41,27 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]], va
     return out
 
 
+#: Bytes of a filter that one row of the table of its words holds as hex digits; a power of two.
+_PAGE = 1 << 16
+
+
 @dataclass
 class Cascade:
     """Alternate Bloom filters: even levels hold listed keys, odd ones the others that the level before let through."""
 
-    levels: list[tuple[bytes, int]] = field(default_factory=list)
+    levels: list[tuple[Column, int]] = field(default_factory=list)
     hashes: int = 7
 
-    def _bits(self, key: Column, level: int, size: int) -> list[Column]:
+    def bits(self, key: Column, level: int, size: int) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(size).cast("long")) for j in range(self.hashes)]
 
     def passes(self, key: Column, level: int) -> Column:
-        bits, size = self.levels[level]
+        # one literal serves all probes of a level
+        filter_, size = self.levels[level]
         out = F.lit(True)
-        for bit in self._bits(key, level, size):
-            byte = F.conv(F.hex(F.lit(bits).substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            out = out & (F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1)
+        for bit in self.bits(key, level, size):
+            byte = F.conv(F.hex(filter_.substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            out = out & (F.call_function("bit_get", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)
         return out
 
     def contains(self, key: Column) -> Column:
@@ -67,44 +72,67 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, most_bytes: int = 64 << 20) -> Cascade | None:
-    """A cascade over the distinct keys of both (column key). None if a level would exceed most_bytes, the proven bound of what is sent around."""
-    listed = materialize(listed.select("key").where(F.col("key").isNotNull()).distinct(), "listed-keys")
-    others = materialize(universe.select("key").where(F.col("key").isNotNull()).distinct().join(listed, "key", "left_anti"), "other-keys")
-    cascade, inside, outside = Cascade(), listed, others
+def _packed(keys: DataFrame, bits: list[Column], size: int) -> bytes:
+    """The filter's bytes, put together by aggregation: a row for each 64 bits, then one for each page, which is all that the driver reads."""
+    words = (size + 63) // 64
+    spots = keys.select(F.explode(F.array(*bits)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("value"))
+    none = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("value"))
+    dense = spots.unionAll(none).groupBy("word").agg(F.bit_or("value").alias("value"))
+    pages = dense.groupBy(F.floor(F.col("word") / (_PAGE // 8)).alias("page")).agg(F.sort_array(F.collect_list(F.struct("word", "value"))).alias("rows"))
+    # bit i of a filter is bit i % 8 of its byte i / 8, so the bytes of a word are put in reverse
+    text = F.array_join(F.transform("rows", lambda x: F.lpad(F.hex(x["value"]), 16, "0")), "")
+    ordered = pages.select("page", F.unhex(text).alias("bytes")).orderBy("page")
+    return b"".join(int.from_bytes(r["bytes"][i : i + 8], "big").to_bytes(8, "little") for r in ordered.toLocalIterator() for i in range(0, len(r["bytes"]), 8))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = 10) -> Cascade:
+    """A cascade over the distinct keys of both (column key), which answers exactly for each of them."""
+    said = universe.select("key", F.lit(0).alias("said")).unionAll(listed.select("key", F.lit(1).alias("said"))).where(F.col("key").isNotNull())
+    return _cascade(materialize(said.groupBy("key").agg(F.max("said").alias("said")), "keys"), bits_per_key)
+
+
+def _cascade(keys: DataFrame, bits_per_key: int) -> Cascade:
+    """keys: key, said (1: listed)."""
+    cascade, inside, outside = Cascade(), keys.where("said = 1").select("key"), keys.where("said = 0").select("key")
     while (n := inside.count()) > 0:
         level, size = len(cascade.levels), max(64, n * bits_per_key)
-        if size > most_bytes * 8:
-            return None
-        spots = inside.select(F.explode(F.array(*cascade._bits(F.col("key"), level, size))).alias("bit")).select(
-            F.floor(F.col("bit") / 8).cast("long").alias("at"), F.pow(F.lit(2), F.pmod(F.col("bit"), F.lit(8))).cast("int").alias("value")
-        )
-        packed = bytearray((size + 7) // 8)
-        for row in spots.groupBy("at").agg(F.bit_or("value").alias("value")).toLocalIterator():
-            packed[row["at"]] = row["value"]
-        cascade.levels.append((bytes(packed), size))
+        cascade.levels.append((F.lit(_packed(inside, cascade.bits(F.col("key"), level, size), size)), size))
         inside, outside = materialize(outside.where(cascade.passes(F.col("key"), level)), "passed-keys"), inside
     return cascade
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most_bytes: int = 64 << 20) -> DataFrame:
+def _holder(cascade: Cascade, part_of: Callable[[Column], Column], part: int, n_parts: int) -> Callable[[Column], Column]:
+    """A test of a key: whether it belongs to this part and is listed."""
+    if n_parts == 1:
+        return cascade.contains
+    return lambda key: (part_of(key) == part) & cascade.contains(key)
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most_bytes: int = 16 << 20, bits_per_key: int = 10) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of pages (page_id, url). listed: domains, in column key.
 
     The longest rule that fits decides; without one, a host is blocked if it or a domain above it is listed. The
     key universe is every host of the table with the domains above it, so the cascade answers exactly and the pages are not
-    joined or shuffled; only the distinct hosts are. Should the filter exceed most_bytes, a semi-join of the distinct hosts takes its place.
-    Null urls and urls without :// have an empty host and path. No rows give no rows; repeated rows stay; other columns are ignored.
+    joined or shuffled; only the distinct domains are. Keys are dealt into as many parts as it takes for a part's first filter to have about most_bytes
+    (13 million listed keys); each part has a cascade of its own and is one pass over the pages, whose answers are written in between.
+    Null urls and urls without :// have an empty host and path; null keys are ignored and repeated ones count once. No rows give no rows; repeated rows
+    stay; other columns are ignored.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    hosts = rows.select("host").distinct()
-    keys = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("key"))
-    cascade = build_cascade(keys.select("key"), listed, most_bytes=most_bytes)
-    if cascade is None:
-        hits = keys.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
-        rows = rows.join(hits, "host", "left").withColumn("listed", F.coalesce("hit", F.lit(False)))
-    else:
-        rows = rows.withColumn("listed", F.exists(domains_of(F.col("host")), cascade.contains) if cascade.levels else F.lit(False))
+    known = rows.select("host").distinct().select(F.explode(domains_of(F.col("host"))).alias("key"), F.lit(0).alias("said"))
+    said = known.unionAll(listed.select("key", F.lit(1).alias("said")).where(F.col("key").isNotNull()))
+    keys = materialize(said.groupBy("key").agg(F.max("said").alias("said")), "keys")
+    n_parts = max(1, -(-keys.where("said = 1").count() * bits_per_key // (most_bytes * 8)))
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(n_parts))
+    rows = rows.withColumn("listed", F.lit(False))
+    for part in range(n_parts):
+        cascade = _cascade(keys.where(part_of(F.col("key")) == part), bits_per_key)
+        if not cascade.levels:
+            continue
+        rows = rows.withColumn("listed", F.col("listed") | F.exists(domains_of(F.col("host")), _holder(cascade, part_of, part, n_parts)))
+        if part + 1 < n_parts:
+            rows = materialize(rows, "judged")
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_column(host, path, rules, 1), F.when(F.col("listed"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", rule_column(host, path, rules, 0).alias("rule"), verdict.alias("verdict"), "listed")

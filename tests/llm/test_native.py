@@ -156,6 +156,7 @@ def test_cascade_is_exact_with_weak_filters(spark):
     listed = spark.range(0, 3000, 3).selectExpr("concat('k', id) as key")
     cascade = url_filter.build_cascade(universe, listed, bits_per_key=3)
     assert len(cascade.levels) > 3
+    assert all(len(universe.select(bits).first()[0]) == (size + 63) // 64 * 8 for bits, size in cascade.levels)
     wrong = universe.where(cascade.contains(F.col("key")) != (F.substring("key", 2, 9).cast("int") % 3 == 0))
     assert wrong.count() == 0
 
