@@ -5,36 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
+from .ranking import numbered
 
-#: More distinct blocks than this that share a 64-bit name at one level would mean a broken hash.
+#: More distinct blocks than this that share a 64-bit hash would mean a broken hash.
 MOST_TIES = 10_000
 
 
-def _key(content: Column, paired: bool) -> Column:
-    """A block itself; a pair of names as text."""
-    if not paired:
-        return content
-    parts = (content["a"]["h"], content["a"]["r"], content["b"]["h"], content["b"]["r"])
-    return F.concat_ws(",", *[F.coalesce(part.cast("string"), F.lit("-")) for part in parts])
-
-
 def _hash(content: Column, bits: int) -> Column:
     return F.xxhash64(content).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
 
 
-def _named(content: Column, ties: dict, paired: bool, bits: int) -> Column:
-    """The name of a block or pair: its hash, and its rank among the distinct ones with that hash (nearly always 0)."""
+def _ranked(block: Column, ties: dict, bits: int) -> Column:
+    """A block's hash, and its rank among the distinct blocks with that hash (nearly always 0)."""
     rank = F.lit(0)
     if ties:
         ranks = F.create_map(*[F.lit(x) for item in ties.items() for x in item])
-        rank = F.coalesce(F.try_element_at(ranks, _key(content, paired)), F.lit(0))
-    return F.struct(_hash(content, bits).alias("h"), rank.cast("int").alias("r"))
+        rank = F.coalesce(F.try_element_at(ranks, block), F.lit(0))
+    return F.struct(_hash(block, bits).alias("h"), rank.cast("int").alias("r"))
 
 
-def _ties(distinct: DataFrame, paired: bool, bits: int) -> dict:
-    """Distinct contents (column content) that share a hash, by key, with their rank in sorted order where it isn't 0.
+def _ties(distinct: DataFrame, bits: int) -> dict:
+    """Distinct blocks (column content) that share a hash, with their rank in sorted order where it isn't 0.
 
-    Only hashes are shuffled to find them. With 64 bits, n distinct contents give about n * n / 2**65 ties, so what
+    Only hashes are shuffled to find them. With 64 bits, n distinct blocks give about n * n / 2**65 ties, so what
     reaches the driver is small at any size; more than MOST_TIES raises.
     """
     hashed = distinct.withColumn("h", _hash(F.col("content"), bits))
@@ -44,24 +37,32 @@ def _ties(distinct: DataFrame, paired: bool, bits: int) -> dict:
         raise RuntimeError(f"over {MOST_TIES} hashes are shared by different blocks")
     if not n_shared:
         return {}
-    rows = hashed.join(shared, "h", "left_semi").select("h", _key(F.col("content"), paired).alias("key")).sort("h", "key").collect()
+    rows = hashed.join(shared, "h", "left_semi").select("h", "content").sort("h", "content").collect()
     out, last, rank = {}, None, 0
     for row in rows:
         rank = rank + 1 if row["h"] == last else 0
         last = row["h"]
         if rank:
-            out[row["key"] if paired else bytes(row["key"])] = rank
+            out[bytes(row["content"])] = rank
     return out
 
 
+def _integers(names: DataFrame) -> DataFrame:
+    """The distinct rows in sorted order, each with its place as its integer name."""
+    columns = names.columns
+    return numbered(materialize(names.distinct(), "distinct-names"), [F.col(c).asc_nulls_first() for c in columns], "name")
+
+
 def name_texts(docs: DataFrame, block_bytes: int = 4096, bits: int = 64) -> DataFrame:
-    """doc_id, text_sha256, n_blocks, h, r: two rows have the same (n_blocks, h, r) exactly when their texts are equal.
+    """doc_id, text_sha256, n_blocks, name: two rows have the same name (a long) exactly when their texts are equal.
+
+    Texts are cut into blocks of block_bytes bytes. The distinct blocks are sorted, by hash and then by content among those few that share a hash, and a
+    block's place in that order is its integer name. Adjacent names form pairs; the distinct pairs are sorted and named in the same way, level by
+    level, until each text has one name. With its level, that is the text's identity: no two texts share it.
 
-    Texts are cut into blocks of block_bytes bytes. A block's name is its hash; the distinct blocks are sorted by
-    hash, and those few that share one get a rank, so a name stands for one content. Adjacent names form
-    pairs, which are named in the same way, level by level, until each text has one name. Texts are
-    shuffled once, as distinct blocks after map-side aggregation; later levels shuffle pairs of integers, of which there are half as
-    many each time. A text that fills half of all rows is one block after that aggregation.
+    Texts are shuffled once, as distinct blocks after map-side aggregation; beyond that a block is its hash and its rank among blocks of that hash. Texts of the
+    same blocks are named once, so a text that fills half of all rows is one row here; later levels shuffle pairs of integers, half as many each time.
+    More than MOST_TIES different blocks that share a 64-bit hash (expected: n * n / 2**65 of n blocks) raise an error rather than name anything wrongly.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     cut = docs.select(F.col("doc_id"), F.sha2(raw, 256).alias("text_sha256"), raw.alias("raw")).withColumn(
@@ -69,22 +70,28 @@ def name_texts(docs: DataFrame, block_bytes: int = 4096, bits: int = 64) -> Data
     )
     pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("raw"), i * block_bytes + 1, F.lit(block_bytes)))
     blocks = cut.select("doc_id", "text_sha256", "n_blocks", pieces.alias("blocks"))
-    ties = _ties(blocks.select(F.explode("blocks").alias("content")).distinct(), False, bits)
-    level = materialize(blocks.select("doc_id", "text_sha256", "n_blocks", F.transform("blocks", lambda b: _named(b, ties, False, bits)).alias("names")), "block-names")
-    done = []
+    ties = _ties(blocks.select(F.explode("blocks").alias("content")).distinct(), bits)
+    rows = materialize(blocks.select("doc_id", "text_sha256", "n_blocks", F.transform("blocks", lambda b: _ranked(b, ties, bits)).alias("blocks")), "block-hashes")
+    texts = materialize(rows.groupBy("blocks").agg(F.count(F.lit(1)).alias("n")).select("blocks", F.monotonically_increasing_id().alias("text")), "distinct-texts")
+    places = texts.select("text", F.size("blocks").alias("size"), F.posexplode("blocks").alias("pos", "block")).select("text", "size", "pos", "block.h", "block.r")
+    level = materialize(places.join(_integers(places.select("h", "r")), ["h", "r"]).select("text", "size", "pos", "name"), "block-names")
+    done, depth = [], 0
     while True:
-        done.append(level.where(F.size("names") == 1).select("doc_id", "text_sha256", "n_blocks", F.col("names")[0].h.alias("h"), F.col("names")[0].r.alias("r")))
-        open_ = level.where(F.size("names") > 1)
+        done.append(level.where("size = 1").select("text", (F.shiftleft("name", 6) + F.lit(depth)).alias("name")))
+        open_ = level.where("size > 1")
         if open_.isEmpty():
             break
-        half = F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int"))
-        pairs = open_.select("doc_id", "text_sha256", "n_blocks", F.transform(half, lambda i: F.struct(F.get("names", i * 2).alias("a"), F.get("names", i * 2 + 1).alias("b"))).alias("pairs"))
-        ties = _ties(pairs.select(F.explode("pairs").alias("content")).distinct(), True, bits)
-        level = materialize(pairs.select("doc_id", "text_sha256", "n_blocks", F.transform("pairs", lambda p: _named(p, ties, True, bits)).alias("names")), "pair-names")
-    out = done[0]
+        side = lambda k: F.max(F.when(F.col("pos") % 2 == k, F.col("name")))
+        pairs = open_.groupBy("text", F.expr("pos div 2").alias("pos")).agg(side(0).alias("a"), side(1).alias("b"), F.expr("max((size + 1) div 2)").alias("size"))
+        pairs = materialize(pairs, "pairs")
+        named = _integers(pairs.select("a", "b")).toDF("n_a", "n_b", "name")
+        level = materialize(pairs.join(named, (F.col("a") == F.col("n_a")) & F.col("b").eqNullSafe(F.col("n_b"))).select("text", "size", "pos", "name"), "pair-names")
+        depth += 1
+    names = done[0]
     for part in done[1:]:
-        out = out.unionAll(part)
-    return out
+        names = names.unionAll(part)
+    identities = texts.join(names, "text").select(F.col("blocks").alias("own"), "name")
+    return rows.join(identities, F.col("blocks") == F.col("own")).select("doc_id", "text_sha256", "n_blocks", "name")
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = 4096, bits: int = 64) -> DataFrame:
@@ -92,14 +99,12 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096, bits: int = 64) -> Dat
 
     Texts are equal when their bytes are; a null text is an empty one. The largest doc_id of a group stays (a null id
     only where all are null); rows that repeat that id are all marked kept. No rows give no rows; other columns are
-    ignored. Groups are counted with map-side aggregation and joined back on their name, where Spark splits hot names.
+    ignored. Groups are counted with map-side aggregation and joined back on their name, where Spark splits hot names. See name_texts for
+    the (practically impossible) case in which it raises.
     """
-    named = name_texts(docs, block_bytes, bits)
-    groups = named.groupBy("n_blocks", "h", "r").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.col("n_blocks").alias("g_n"), F.col("h").alias("g_h"), F.col("r").alias("g_r"), "keep_id", "group_size")
-    groups = materialize(groups, "copy-groups")
-    same = (F.col("n_blocks") == F.col("g_n")) & (F.col("h") == F.col("g_h")) & (F.col("r") == F.col("g_r"))
-    return named.join(groups, same).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    named = materialize(name_texts(docs, block_bytes, bits), "named-texts")
+    groups = named.groupBy("name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return named.join(groups, "name").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 EXACT_SQL = """

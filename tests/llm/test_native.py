@@ -43,7 +43,16 @@ def test_exact_dedup(spark, block, bits):
 def test_ties_between_blocks_are_resolved(spark):
     texts = [(i, f"{i:04d}" * 3, "s") for i in range(400)]
     out = exact_dedup.name_texts(documents(spark, texts), block_bytes=4, bits=10)
-    assert out.select("n_blocks", "h", "r").distinct().count() == 400
+    assert out.select("name").distinct().count() == 400
+
+
+def test_names_of_blocks_and_pairs(spark):
+    """Names are equal exactly when texts are, over texts of few different blocks and many numbers of blocks."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["aaaa", "bbbb", "aabb", "a"]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    out = exact_dedup.name_texts(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), block_bytes=4).collect()
+    names = {r.doc_id: r.name for r in out}
+    assert len({(names[i], t) for i, t in enumerate(texts)}) == len(set(texts)) == len(set(names.values()))
 
 
 def lines_by_hand(rows, least):
