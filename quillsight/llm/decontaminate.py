@@ -62,25 +62,22 @@ def _fingerprint_sums(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Fingerprints of 8 bytes by each of their bytes. Two that differ in `radius` bits at most have a byte that differs in radius // 8 at most."""
+    """Fingerprints of 8 bytes by each of their bytes. Two that differ in `radius` bits at most have a byte that differs in radius // 8 at most.
+
+    For every block and value there is a bit for each fingerprint, set if its block differs from the value in no more bits than that.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        self.masks = _BLOCK_VALUES[_POPCOUNT <= radius // BLOCKS].astype(np.int64)
-        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
-        self.starts = [np.searchsorted(prints[self.order[b], b], np.arange(257)).astype(np.int32) for b in range(BLOCKS)]
-
-    def near(self, one: np.ndarray) -> np.ndarray:
-        """The rows of all fingerprints within the radius of this one."""
-        found = []
-        for b in range(BLOCKS):
-            values = int(one[b]) ^ self.masks
-            starts, ends = self.starts[b][values], self.starts[b][values + 1]
-            found += [self.order[b][x:y] for x, y in zip(starts[starts < ends].tolist(), ends[starts < ends].tolist(), strict=True)]
-        if not found:
-            return np.empty(0, dtype=np.int32)
-        rows = np.unique(np.concatenate(found))
-        return rows[_POPCOUNT[self.prints[rows] ^ one].sum(axis=1) <= self.radius]
+        reach = radius // BLOCKS
+        self.blocks = np.stack([np.packbits(_POPCOUNT[_BLOCK_VALUES[:, None] ^ prints[None, :, b]] <= reach, axis=1) for b in range(BLOCKS)])
+
+    def near(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (row of wanted, row of the fingerprints) within the radius."""
+        found = np.bitwise_or.reduce([self.blocks[b][wanted[:, b]] for b in range(BLOCKS)])
+        rows, own = np.nonzero(np.unpackbits(found, axis=1, count=len(self.prints)))
+        close = _POPCOUNT[wanted[rows] ^ self.prints[own]].sum(axis=1) <= self.radius
+        return rows[close], own[close]
 
 
 @dataclass
@@ -101,6 +98,7 @@ class BenchmarkIndex:
         self.by_length = dict(sorted(by_length.items()))
         self.index: dict[int, HammingIndex] = {}
         self.totals = np.zeros(len(self.items))
+        self.least: dict[int, float] = {}
         keys: dict[int, list[np.ndarray]] = defaultdict(list)
         for n, own in self.by_length.items():
             prints = np.empty((len(own), BLOCKS), dtype=np.uint8)
@@ -110,6 +108,7 @@ class BenchmarkIndex:
                 prints[row] = _fingerprints(_fingerprint_sums(shingles, weights)[-1:])[0]
                 keys[min(self.k, n)].append(shingles)
             self.index[n] = HammingIndex(prints, self.radius)
+            self.least[n] = float(self.totals[own].min())
         # items of fewer than k words are one shingle of their own length
         self.members = {size: Members(np.concatenate(own)) for size, own in sorted(keys.items())}
         self.counted: dict[int, tuple[Counter, dict[int, float]]] = {}
@@ -142,14 +141,19 @@ class BenchmarkIndex:
                     continue
                 # a document shorter than the item is one window
                 width = min(n, len(hashes)) - size + 1
-                # what a window shares with an item is known, and must be this share of the window's own weight
-                starts = np.flatnonzero(known[width:] - known[:-width] >= self.similarity * (every[width:] - every[:-width]) - 1e-9)
+                # what a window shares with an item is known, and must be this share of the window's and of the item's weight
+                if known[-1] < self.similarity * self.least[n] - 1e-9:
+                    continue
+                held = known[width:] - known[:-width]
+                starts = np.flatnonzero(held >= self.similarity * np.maximum(every[width:] - every[:-width], self.least[n]) - 1e-9)
                 if len(starts):
-                    self._search(n, index, starts, width, shingles, weights, found)
+                    self._search(n, index, starts, width, shingles, weights, known, every, found)
         return [(i, p, windows, s) for i, (s, p, windows) in sorted(found.items())]
 
-    def _search(self, n: int, index: HammingIndex, starts: np.ndarray, width: int, shingles: np.ndarray, weights: np.ndarray, found: dict) -> None:
+    def _search(self, n: int, index: HammingIndex, starts: np.ndarray, width: int, shingles: np.ndarray, weights: np.ndarray, known: np.ndarray, every: np.ndarray, found: dict) -> None:
         """Look up the windows' fingerprints among the items of n words, and check what is within the radius."""
+        items = np.array(self.by_length[n])
+        share = self.similarity / (1 + self.similarity)
         while len(starts):
             # windows of a stretch share prefix sums; a stretch has a bounded length
             first, size = int(starts[0]), int(np.searchsorted(starts, starts[0] + _STRETCH))
@@ -157,13 +161,15 @@ class BenchmarkIndex:
             last = int(here[-1]) + width
             sums = _fingerprint_sums(shingles[first:last], weights[first:last])
             prints = _fingerprints(sums[here - first + width] - sums[here - first])
-            for p, one in zip(here.tolist(), prints, strict=True):
-                for row in index.near(one).tolist():
-                    i = self.by_length[n][row]
-                    s = self._similarity(shingles[p : p + width], weights[p : p + width], i)
-                    if s >= self.similarity - 1e-12:
-                        best, where, windows = found.get(i, (0.0, 0, 0))
-                        found[i] = (s, p, windows + 1) if s > best else (best, where, windows + 1)
+            rows, own = index.near(prints)
+            at, own = here[rows], items[own]
+            # both sides' weights bound what they can share
+            able = known[at + width] - known[at] >= share * (every[at + width] - every[at] + self.totals[own]) - 1e-9
+            for p, i in zip(at[able].tolist(), own[able].tolist(), strict=True):
+                s = self._similarity(shingles[p : p + width], weights[p : p + width], i)
+                if s >= self.similarity - 1e-12:
+                    best, where, windows = found.get(i, (0.0, 0, 0))
+                    found[i] = (s, p, windows + 1) if s > best else (best, where, windows + 1)
 
     def in_column(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
         """(row, items found) of the texts that hold any."""
@@ -194,7 +200,7 @@ def _raw_shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def benchmark_items(benchmark: DataFrame, most_bytes: int = 8 << 20) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in blocks of at most most_bytes of text (one item more where a single one is longer).
 
-    Each block is one pass over the documents. Its index is built once, on the driver, and takes about five times the block's bytes (40 MB), so what is sent to
+    Each block is one pass over the documents. Its index is built once, on the driver, and takes about ten times the block's bytes (80 MB), so what is sent to
     the executors has a bound at any size of the benchmark.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").distinct().sort("item_id", "text")

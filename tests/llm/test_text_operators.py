@@ -424,8 +424,8 @@ def test_every_fingerprint_within_the_radius_is_found():
         bits = np.unpackbits(own[row])
         bits[flips] ^= 1
         value = np.packbits(bits)
-        assert row in index.index[20].near(value)
-        assert set(index.index[20].near(value)) == {i for i in range(len(own)) if np.unpackbits(own[i] ^ value).sum() <= 23}
+        _, found = index.index[20].near(value[None])
+        assert row in found and set(found.tolist()) == {i for i in range(len(own)) if np.unpackbits(own[i] ^ value).sum() <= 23}
 
 
 def test_windows_of_long_documents_take_bounded_memory():
