@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import byte_stats as bs, routing
 from ..operators import audio, image, media, video, verdicts
+from . import media_sql
 from .queries import query, read
 
 
@@ -84,54 +85,121 @@ def _items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name, bytearray(data)) for name, data in items()], "item string, content binary")
 
 
-@query("image_signals")
+_SQL = "WITH RECURSIVE " + media_sql.bytes_of(items()) + ",\n"
+
+
+def _scores(rows: DataFrame, column: str, weights: dict[str, float]) -> DataFrame:
+    """item, score and signals, each rounded, and whether the item could be read."""
+    value = lambda name: F.round(F.col(f"{column}.{name}"), 6)
+    return rows.select("item", value("ai_score").alias("ai_score"), *[value(f"signals.{n}").alias(n) for n in weights], F.col(f"{column}.error").isNull().alias("readable"))
+
+
+def _images(spark: SparkSession) -> DataFrame:
+    return image.analyze_images(_items(spark).where(image.format_column(F.col("content")) != "unknown"))
+
+
+def _audios(spark: SparkSession) -> DataFrame:
+    return audio.analyze_audios(_items(spark).where(audio.format_column(F.col("content")) != "unknown"))
+
+
+def _videos(spark: SparkSession) -> DataFrame:
+    return _items(spark).where(video.format_column(F.col("content")) != "unknown")
+
+
+@query("image_signals", _SQL + media_sql.IMAGES + "\n" + media_sql.signals("image_scores", image.WEIGHTS, ["jpeg_damaged"]))
 def image_signals(spark, sf_dir):
-    out = image.analyze_images(_items(spark).where(image.format_column(F.col("content")) != "unknown"))
-    return out.select("item", "image.ai_score", "image.signals.*", "image.metadata.*", "image.stats.*", "image.error")
+    return _scores(_images(spark), "image", image.WEIGHTS)
+
+
+#: What the items were built with.
+_IMAGE_METADATA = (
+    ("jpeg_exif", "jpeg", True, "Canon", "", "", 0, True, 48.5, False, 0, 0, 0), ("jpeg_plain", "jpeg", False, "", "", "", 0, False, 0.0, True, 0, 0, 0),
+    ("png_generated", "png", True, "", image.GENERATED, "", 0, False, 0.0, False, 1024, 768, 8), ("png_screenshot", "png", False, "", "", "2024-05-06 07:08:09", 96, False, 0.0, True, 1024, 768, 8),
+    ("gif", "gif", False, "", "", "", 0, False, 0.0, False, 0, 0, 0), ("jpeg_damaged", *[None] * 12),
+)
+_IMAGE_COLUMNS = ("file_format", "has_exif", "camera_make", "software", "date_taken", "x_resolution", "has_gps", "gps_latitude", "is_screenshot", "width", "height", "bit_depth")
+
 
+@query("image_metadata", media_sql.table(_IMAGE_METADATA, ("item", *_IMAGE_COLUMNS)))
+def image_metadata(spark, sf_dir):
+    stats = ("width", "height", "bit_depth")
+    return _images(spark).select("item", *[F.col(f"image.{'stats' if c in stats else 'metadata'}.{c}").alias(c) for c in _IMAGE_COLUMNS])
 
-@query("audio_signals")
+
+@query("audio_signals", _SQL + media_sql.AUDIO + "\n" + media_sql.signals("audio_scores", audio.WEIGHTS))
 def audio_signals(spark, sf_dir):
-    out = audio.analyze_audios(_items(spark).where(audio.format_column(F.col("content")) != "unknown"))
-    return out.select("item", "audio.ai_score", "audio.signals", "audio.metadata", "audio.stats", "audio.error")
+    return _scores(_audios(spark), "audio", audio.WEIGHTS)
+
+
+@query("audio_metadata", _SQL + media_sql.AUDIO_METADATA)
+def audio_metadata(spark, sf_dir):
+    return _audios(spark).select("item", "audio.metadata.*")
+
 
+@query("wave_stats", _SQL + media_sql.WAVE_STATS)
+def wave_stats(spark, sf_dir):
+    rows = _audios(spark).where("audio.stats.has_waveform_stats").select("item", "audio.stats.*").drop("has_waveform_stats")
+    return rows.select("item", "file_size", *[F.round(c, 6).alias(c) for c in rows.columns if c not in ("item", "file_size")])
 
-@query("video_signals")
+
+@query("video_signals", _SQL + media_sql.VIDEO + "\n" + media_sql.signals("video_scores", video.WEIGHTS))
 def video_signals(spark, sf_dir):
-    out = video.analyze_videos(_items(spark).where(video.format_column(F.col("content")) != "unknown"))
-    return out.select("item", "video.ai_score", "video.signals", "video.metadata", "video.stats", "video.error")
+    return _scores(video.analyze_videos(_videos(spark)), "video", video.WEIGHTS)
+
+
+@query("video_metadata", _SQL + media_sql.VIDEO + " SELECT f.*, n AS file_size, CAST(CASE WHEN contains(t, 'mdat') THEN 1 ELSE 0 END AS BIGINT) AS chunk_count FROM video_facts f JOIN len USING (item) JOIN text_ USING (item)")
+def video_metadata(spark, sf_dir):
+    return video.analyze_videos(_videos(spark)).select("item", "video.metadata.*", "video.stats.*")
 
 
-@query("mp3_frames")
+@query("mp3_frames", _SQL + media_sql.MP3_FRAMES)
 def mp3_frames(spark, sf_dir):
     return audio.frames_of(_items(spark), ["item"])
 
 
-@query("sound_spectrum")
+def _sounds(spark: SparkSession) -> DataFrame:
+    return audio.analyze_sounds(_items(spark).where(audio.format_column(F.col("content")) == "wav"))
+
+
+@query("sound_spectrum", _SQL + media_sql.SPECTRUM)
 def sound_spectrum(spark, sf_dir):
-    return audio.analyze_sounds(_items(spark).where(audio.format_column(F.col("content")) == "wav")).select("item", "sound.spectrum", "sound.mfcc_mean", "sound.mfcc_score", "sound.error")
+    """Spectra of the WAV items; formants have a query of their own."""
+    return _sounds(spark).select("item", *[F.round(f"sound.spectrum.{c}", 6).alias(c) for c in ("centroid", "flatness", "rolloff", "bandwidth", "harmonic_ratio", "flux")])
+
+
+@query("sound_formants")
+def sound_formants(spark, sf_dir):
+    return _sounds(spark).select("item", F.posexplode("sound.spectrum.formants").alias("place", "hz"))
+
+
+@query("sound_cepstrum", _SQL + media_sql.CEPSTRUM)
+def sound_cepstrum(spark, sf_dir):
+    rows = _sounds(spark).select("item", F.posexplode("sound.mfcc_mean").alias("place", "mfcc_mean"), F.round("sound.mfcc_score", 6).alias("mfcc_score"))
+    return rows.select("item", F.col("place").cast("long").alias("place"), F.round("mfcc_mean", 6).alias("mfcc_mean"), "mfcc_score")
 
 
-@query("video_frames")
+@query("video_frames", _SQL + media_sql.VIDEO_FRAMES)
 def video_frames(spark, sf_dir):
-    frames = video.frames_of(_items(spark).where(video.format_column(F.col("content")) != "unknown"), ["item"], config=video.ExtractionConfig(keyframes_only=False, max_frames=50))
+    frames = video.frames_of(_videos(spark), ["item"], config=video.ExtractionConfig(keyframes_only=False, max_frames=50))
     return video.frame_changes(frames, "item").withColumn("data", F.sha2("data", 256))
 
 
-@query("video_motion")
+@query("video_motion", _SQL + media_sql.VIDEO_MOTION)
 def video_motion(spark, sf_dir):
-    return video.analyze_motion(_items(spark).where(video.format_column(F.col("content")) != "unknown")).select("item", "motion.n_frames", "motion.consistency", "motion.temporal", "motion.error")
+    rows = video.analyze_motion(_videos(spark)).select("item", "motion.n_frames", "motion.consistency", "motion.temporal.*")
+    return rows.select("item", "n_frames", *[F.round(c, 6).alias(c) for c in ("consistency", "overall", "flickering", "diff_variance", "lighting", "morphing")])
 
 
-@query("media_verdicts")
+@query("media_verdicts", _SQL + media_sql.VERDICTS)
 def media_verdicts(spark, sf_dir):
-    """Every item routed by its first bytes, analysed by its kind, with a verdict."""
+    """Every item routed by its first bytes, analysed by its kind, with a verdict on the score to nine digits."""
     rows = _items(spark).withColumn("content_type", routing.type_of_magic(F.col("content")))
     parts = []
     for kind, analyse in (("image", image.analyze_images), ("audio", audio.analyze_audios), ("video", video.analyze_videos)):
         part = analyse(rows.where(F.col("content_type") == kind))
-        parts.append(part.select("item", "content_type", F.col(kind).ai_score.alias("ai_score"), F.col(kind).error.alias("error")))
-    return verdicts.add_verdict(parts[0].unionByName(parts[1]).unionByName(parts[2])).withColumn("content_hash", F.lit(None).cast("string")).drop("content_hash")
+        parts.append(part.select("item", "content_type", F.round(F.col(kind).ai_score, 9).alias("ai_score")))
+    out = verdicts.add_verdict(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return out.select("item", "content_type", F.round("ai_score", 6).alias("ai_score"), "human", F.round("confidence", 6).alias("confidence"))
 
 
 _BYTES = "SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS h FROM documents"
@@ -160,7 +228,7 @@ def byte_entropy(spark, sf_dir):
 PNG_CHUNK = "type string, length long, crc long"
 
 
-@query("png_chunks")
+@query("png_chunks", _SQL + media_sql.PNG_CHUNKS)
 def png_chunks(spark, sf_dir):
     rows = _items(spark).where(image.format_column(F.col("content")) == "png")
     schema = spark.createDataFrame([], PNG_CHUNK).schema
