@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..engine import Detector
 from ..functions import byte_stats as bs, routing
 from ..operators import audio, image, media, video, verdicts
 from . import media_sql
-from .queries import query, read
+from .queries import SCORED, query, read, spread
 
 
 def png(*chunks: tuple[bytes, bytes], size: tuple[int, int] = (1024, 768)) -> bytes:
@@ -202,6 +203,53 @@ def media_verdicts(spark, sf_dir):
     return out.select("item", "content_type", F.round("ai_score", 6).alias("ai_score"), "human", F.round("confidence", 6).alias("confidence"))
 
 
+_FOUND = """
+SELECT 'doc-' || k AS item, 'text' AS content_type, CASE WHEN error IS NULL THEN ai_score END AS ai_score, sha256(t) AS content_hash, error FROM (
+  {text} SELECT *, CASE WHEN t = '' THEN 'no content' WHEN strlen(t) < 10 THEN 'text too short' WHEN strlen(t) > 100000 THEN 'text too long' END AS error FROM scored JOIN d USING (k))
+UNION ALL
+SELECT item, CASE WHEN content_type IS NULL THEN 'unknown' ELSE content_type END, ai_score, sha256(from_hex(h)),
+       CASE WHEN h = '' THEN 'no content' WHEN content_type IS NULL THEN 'unsupported content type: unknown' WHEN ai_score IS NULL THEN 'unreadable' END
+FROM ({media} SELECT len.item, h, v.content_type, v.ai_score FROM len LEFT JOIN verdicts v ON v.item = len.item)"""
+_FOUND = _FOUND.format(text="WITH " + SCORED, media=_SQL + media_sql.VERDICTS_TABLE)
+#: Scores that other detectors gave.
+_EXTERNAL = (("jpeg_exif", "hive", 0.9), ("wav_tone", "hive", 0.8), ("mp4", "hive", 0.1), ("doc-7", "hive", 0.95), ("doc-7", "gptzero", 0.7), ("doc-7", "openai", 0.2), ("doc-9", "other", 0.6), ("doc-9", "hive", None), ("empty", "hive", 0.9), ("nowhere", "hive", 0.9))
+
+
+def _mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("item"), F.coalesce("text", F.lit("")).alias("text"), F.lit("text").alias("content_type"))
+    return spread(docs).unionByName(_items(spark).withColumnRenamed("content", "data"), allowMissingColumns=True)
+
+
+def _results(found: DataFrame) -> DataFrame:
+    """The result set, with scores to nine digits before the verdict and damaged items told apart from refused ones."""
+    rows = verdicts.add_verdict(found.withColumn("ai_score", F.round("ai_score", 9)))
+    error = F.when(F.col("error").contains("Error:"), "unreadable").otherwise(F.col("error"))
+    return rows.select("item", "content_type", "human", F.round("confidence", 6).alias("confidence"), F.round("ai_score", 6).alias("ai_score"), F.array_join("detectors", ",").alias("detectors"), "content_hash", error.alias("error"))
+
+
+_RESULTS = "SELECT item, content_type, round(ai_score, 9) < 0.5 AS human, round(abs(round(ai_score, 9) - 0.5) * 2, 6) AS confidence, round(ai_score, 6) AS ai_score, {detectors} AS detectors, content_hash, error FROM {rows}"
+
+
+@query("detect_mixed", _RESULTS.format(detectors="CASE WHEN ai_score IS NOT NULL THEN 'local' END", rows=f"({_FOUND})"))
+def detect_mixed(spark, sf_dir):
+    """Every document and every media item in one table, routed, analysed by its kind, and back in one result set."""
+    return _results(Detector().detect(_mixed_items(spark, sf_dir), "item"))
+
+
+_WEIGHT = "CASE detector WHEN 'hive' THEN CASE content_type WHEN 'text' THEN 1.2 WHEN 'video' THEN 1.4 ELSE 1.3 END WHEN 'gptzero' THEN 1.1 WHEN 'openai' THEN 0.9 ELSE 1.0 END"
+
+
+@query("detect_with_external", _RESULTS.format(detectors="detectors", rows=f"""(
+  SELECT item, content_type, any_value(content_hash) AS content_hash, any_value(f.error) AS error, CASE WHEN any_value(f.ai_score) IS NOT NULL THEN (any_value(f.ai_score) + coalesce(sum(e.score * w), 0)) / (1 + coalesce(sum(w) FILTER (e.score IS NOT NULL), 0)) END AS ai_score,
+         CASE WHEN any_value(f.ai_score) IS NOT NULL THEN array_to_string(list_sort(list_append(coalesce(list(detector) FILTER (e.score IS NOT NULL), []), 'local')), ',') END AS detectors
+  FROM (SELECT f.*, e.detector, e.score, ({_WEIGHT})::DOUBLE AS w FROM ({_FOUND}) f LEFT JOIN (VALUES {", ".join(f"('{i}', '{d}', {'NULL' if x is None else x}::DOUBLE)" for i, d, x in _EXTERNAL)}) e(item, detector, score) ON e.item = f.item) f(item, content_type, ai_score, content_hash, error, detector, score, w), LATERAL (SELECT f.score AS score) e
+  GROUP BY item, content_type)"""))
+def detect_with_external(spark, sf_dir):
+    """The same with scores of other detectors joined in, by the weights of each kind."""
+    external = spark.createDataFrame(_EXTERNAL, "item string, detector string, score double")
+    return _results(Detector().detect(_mixed_items(spark, sf_dir), "item", external))
+
+
 _BYTES = "SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS h FROM documents"
 
 

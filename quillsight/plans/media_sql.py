@@ -266,11 +266,12 @@ SELECT item, CAST(n AS BIGINT) AS n_frames, round(consistency, 6) AS consistency
   round(flickering, 6) AS flickering, round(diff_variance, 6) AS diff_variance, round(lighting, 6) AS lighting, round(morphing, 6) AS morphing FROM scored"""
 
 #: Every item by its first bytes, as the router sees them: a container of type ftyp is a video, and heads of FLAC, Ogg, WebM and AVI are not in its table.
-VERDICTS = IMAGES + "," + AUDIO + "," + VIDEO + """,
-each_ AS (SELECT item, 'image' AS content_type, ai_score FROM image_scores UNION ALL SELECT item, 'audio', ai_score FROM audio_scores WHERE item NOT IN ('mp4', 'mp4_zeros', 'flac', 'ogg')
-  UNION ALL SELECT item, 'video', ai_score FROM video_scores WHERE item IN ('mp4', 'mp4_zeros'))
-SELECT item, content_type, round(ai_score, 6) AS ai_score, round(ai_score, 9) < 0.5 AS human, round(abs(ai_score - 0.5) * 2, 6) AS confidence FROM each_
-UNION ALL SELECT 'jpeg_damaged', 'image', NULL, NULL, NULL"""
+VERDICTS_TABLE = IMAGES + "," + AUDIO + "," + VIDEO + """,
+verdicts AS (SELECT item, 'image' AS content_type, ai_score FROM image_scores UNION ALL SELECT 'jpeg_damaged', 'image', NULL
+  UNION ALL SELECT item, 'audio', ai_score FROM audio_scores WHERE item NOT IN ('mp4', 'mp4_zeros', 'flac', 'ogg')
+  UNION ALL SELECT item, 'video', ai_score FROM video_scores WHERE item IN ('mp4', 'mp4_zeros'))"""
+VERDICTS = VERDICTS_TABLE + """
+SELECT item, content_type, round(ai_score, 6) AS ai_score, round(ai_score, 9) < 0.5 AS human, round(abs(ai_score - 0.5) * 2, 6) AS confidence FROM verdicts"""
 
 SPECTRUM = AUDIO + """,
 tones AS MATERIALIZED (SELECT item, j, s / 32768 AS x FROM pcm),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import lexicon, routing, text as tx
 from ..operators import store, text_signals as ts, verdicts
 from ..operators.text_pass import read_texts
+from ..sources import shared
 from ..streaming import rate_limit
 from . import text_sql
 
@@ -291,12 +292,12 @@ def validate_input(spark, sf_dir):
 
 @query("jobs_insert_lookup", _with(SCORED, f"SELECT substr(sha256(CAST(k AS VARCHAR) || chr(0) || sha256(t)), 1, 24) AS id, 'text' AS content_type, {_VERDICT.split(', CASE')[0]}, round(ai_score, 6) AS ai_score, 'local' AS detectors, sha256(t) AS content_hash FROM scored JOIN d USING (k) WHERE k % 10 = 3"))
 def jobs_insert_lookup(spark, sf_dir):
-    """Scored documents as rows of the job table; those with an id ending in 3 are looked up."""
+    """Scored documents are inserted into a job table, which is then read: those with an id ending in 3 are looked up."""
     scored = scored_documents(spark, sf_dir, "text").withColumn("content_hash", routing.content_hash(F.col("text")))
-    rows = verdicts.add_verdict(scored)
-    jobs = store.as_jobs(rows, "doc_id").withColumn("detectors", F.array_join("detectors", ","))
-    wanted = rows.where("doc_id % 10 = 3").select(store.job_id(F.col("doc_id"), F.col("content_hash")).alias("id"))
-    found = jobs.join(wanted, "id", "left_semi")
+    jobs = store.JobStore(spark, shared.new_table(spark, "jobs"))
+    jobs.create(store.as_jobs(verdicts.add_verdict(scored), "doc_id"))
+    wanted = read(spark, sf_dir, "documents").where("doc_id % 10 = 3").select(store.job_id(F.col("doc_id"), routing.content_hash(F.col("text"))).alias("id"))
+    found = jobs.all().join(wanted, "id", "left_semi").withColumn("detectors", F.array_join("detectors", ","))
     return found.select("id", "content_type", "human", _round("confidence", "confidence"), _round("ai_score", "ai_score"), "detectors", "content_hash")
 
 
