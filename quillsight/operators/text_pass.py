@@ -167,7 +167,8 @@ class Reader:
         low = [low_of[w] for w in words]
         low_text = lower(text)
         n, n_sentences = len(words), len(sentences)
-        unique = set(low)
+        tokens = Counter(low)
+        unique = tokens.keys()
         n_bytes = sum(f[2] * c for f, c in facts)
         n_syllables = sum(f[1] * c for f, c in facts)
         n_complex = sum(c for f, c in facts if f[3])
@@ -183,7 +184,7 @@ class Reader:
             "flesch_kincaid_grade": _grade(n, n_sentences, n_syllables),
             "gunning_fog_index": clamp((n / n_sentences + n_complex / n * 100) * 0.4, 0.0, 20.0) if n and n_sentences else 0.0,
             "detected_phrases": [pattern for pattern, _ in found],
-            "bigrams": two._asdict(), "trigrams": three._asdict(),
+            "bigrams": two._asdict(), "trigrams": three._asdict(), "token_counts": tokens.items(),
             **dict.fromkeys(lexicon.SIGNALS, 0.5),
         }
         if n_sentences >= 3:
@@ -232,9 +233,9 @@ FIELDS: dict[str, T.DataType] = {
     **dict.fromkeys(lexicon.SIGNALS, T.DoubleType()),
     "char_count": T.LongType(), "word_count": T.LongType(), "sentence_count": T.LongType(), "avg_sentence_len": T.DoubleType(), "avg_word_len": T.DoubleType(),
     "unique_words": T.LongType(), "unique_ratio": T.DoubleType(), "punctuation_count": T.LongType(), "flesch_kincaid_grade": T.DoubleType(), "gunning_fog_index": T.DoubleType(),
-    "detected_phrases": T.ArrayType(T.StringType()), "bigrams": _GRAMS, "trigrams": _GRAMS,
+    "detected_phrases": T.ArrayType(T.StringType()), "bigrams": _GRAMS, "trigrams": _GRAMS, "token_counts": T.MapType(T.StringType(), T.LongType()),
 }
-_ARROW = {T.DoubleType(): pa.float64(), T.LongType(): pa.int64(), T.ArrayType(T.StringType()): pa.list_(pa.string()), _GRAMS: pa.struct([("entropy", pa.float64()), ("kinds", pa.int64()), ("repeated", pa.int64())])}
+_ARROW = {T.DoubleType(): pa.float64(), T.LongType(): pa.int64(), T.ArrayType(T.StringType()): pa.list_(pa.string()), FIELDS["token_counts"]: pa.map_(pa.string(), pa.int64()), _GRAMS: pa.struct([("entropy", pa.float64()), ("kinds", pa.int64()), ("repeated", pa.int64())])}
 
 
 def read_texts(docs: DataFrame, wanted: Sequence[str], text: str = "text", reader: Callable[[], Reader] = Reader, keep: Sequence[str] | None = None) -> DataFrame:
@@ -254,7 +255,7 @@ def read_texts(docs: DataFrame, wanted: Sequence[str], text: str = "text", reade
             for i in range(batch.num_rows):
                 row = own.read(texts[i].as_py())
                 for column, name in zip(found, wanted, strict=True):
-                    column.append(row[name])
+                    column.append(list(row[name]) if name == "token_counts" else row[name])
             columns = [*batch.columns[:-1], *(pa.array(c, _ARROW[FIELDS[name]]) for c, name in zip(found, wanted, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

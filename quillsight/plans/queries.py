@@ -40,13 +40,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.add_verdict(ts.analyze_text(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))).drop("text")
 
 
+#: What a task should at least have to read, before a table is dealt out to more tasks.
+TASK_BYTES = 32 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table that has fewer partitions than there are cores, dealt out to all cores; others as they are.
+    """Rows of a table that is too small to keep all cores busy as it is split, dealt out to all cores; those of others as they are.
 
-    The plan depends on the table's size here (one shuffle of a table too small to be split), the results don't.
+    A small Parquet file is often one row group, which one task reads, however many splits are planned. The plan depends on the table's size here
+    (one shuffle of a small table), the results don't.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * TASK_BYTES else rows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +82,8 @@ def text_stats(spark, sf_dir):
 
 @query("token_frequency", _with(BASE, "SELECT lw AS token, count(*) AS n, count(DISTINCT k) AS n_docs FROM tok GROUP BY lw"))
 def token_frequency(spark, sf_dir):
-    tokens = _documents(spark, sf_dir).select("doc_id", F.explode("_lower").alias("token"))
-    per_doc = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("c"))
+    tokens = _read_documents(spark, sf_dir, ["token_counts"]).select("doc_id", F.explode("token_counts").alias("token", "c"))
+    per_doc = tokens.groupBy("doc_id", "token").agg(F.sum("c").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -85,7 +91,7 @@ def token_frequency(spark, sf_dir):
   SELECT lang, lw AS token, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, lw) AS rank
   FROM tok JOIN documents ON k = doc_id GROUP BY lang, lw) WHERE rank <= 20"""))
 def top_tokens(spark, sf_dir):
-    counts = _documents(spark, sf_dir).select("lang", F.explode("_lower").alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = _read_documents(spark, sf_dir, ["token_counts"], "lang").select("lang", F.explode("token_counts").alias("token", "c")).groupBy("lang", "token").agg(F.sum("c").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))
     return counts.withColumn("rank", rank.cast("long")).where("rank <= 20")
 
@@ -149,7 +155,7 @@ def ngram_entropy(spark, sf_dir):
 
 @query("syllables", _with(BASE, "SELECT lw AS word, CAST(min(syllables) AS BIGINT) AS syllables FROM syl GROUP BY lw"))
 def syllables(spark, sf_dir):
-    words = _documents(spark, sf_dir).select(F.explode("_lower").alias("word")).distinct()
+    words = _read_documents(spark, sf_dir, ["token_counts"]).select(F.explode(F.map_keys("token_counts")).alias("word")).distinct()
     return words.select("word", tx.syllables(F.col("word")).cast("long").alias("syllables"))
 
 
