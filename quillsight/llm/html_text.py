@@ -118,7 +118,7 @@ def page_lines(page: str) -> list[Line]:
             continue
         dropped, article = stack[-1][1:] if stack else (False, False)
         within = article or name in ("article", "main")
-        gone = dropped or (name in _DROPPED and not (name == "header" and article)) or (name not in ("html", "body", "article", "main") and _marked(found[3]))
+        gone = dropped or name in _DROPPED or (name not in ("html", "body", "article", "main") and _marked(found[3]))
         if name in _BLOCK or gone != dropped or stack and stack[-1][0] in _DROPPED:
             if gone != dropped:
                 flush()

@@ -280,6 +280,23 @@ def test_html_extraction(spark):
     assert texts[3] == texts[4] == "" and texts[6] == "Head <1>\nOne two three.\nFour"
 
 
+def test_headers_go_wherever_they_stand(spark):
+    page = "<header>top</header><article><header><h1>title</h1>by me</header><h2>part</h2><p>text</p><footer>notes</footer></article>"
+    got = html_text.extract_text(spark.createDataFrame([(1, "http://a.com/", page)], "page_id long, url string, html string")).first()
+    assert got.text == "part\ntext"
+
+
+def test_long_pages(spark):
+    """Many lines are aligned in memory that grows with them, not with their square."""
+    import tracemalloc
+
+    a, b = ([f"own {name} {i}" if i % 3 else f"shared {i}" for i in range(30_000)] for name in "ab")
+    tracemalloc.start()
+    assert html_text.shared_lines(a, b) == set(range(0, 30_000, 3))
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_page_differencing(spark):
     page = "<body><p>Site banner</p><p>{}</p><p>Site terms</p></body>"
     rows = [(i, f"http://h.com/d/{i}", page.format(f"own {i}")) for i in range(6)]
