@@ -278,68 +278,106 @@ _SCORED = T.StructType(
 )
 
 
-def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
+@dataclass(frozen=True)
+class Vocabulary:
+    """Which class a token belongs to, and which word it is within a shape class: words are numbered class by class, the last of each is its other tokens."""
 
-    Tokens are runs of anything but ASCII white space, A-Z lower-cased, and one end per text. Rows whose
-    crc32(doc_id as text) modulo `modulus` is held_out are scored but not learned from. base_score is the smoothed unigram
-    log10 probability, score that of the model: p(token) = p(class | classes of the two tokens before) * p(token | class).
+    frequent: Members
+    ranks: np.ndarray
+    known: Members
+    numbers: np.ndarray
+    firsts: np.ndarray
 
-    The first factor is a log-bilinear model over classes: the end, the most frequent tokens alone (95 to 191, as the square root of the
-    vocabulary), and 64 classes of all others by first and last letters. The second is a log-bilinear model of the words within a class after the class before: each of the
-    65,536 most frequent tokens that are seen 5 times or more has a vector, and one word stands for all other tokens of the class, which share its
-    probability as (c + 0.5) / (sum of c + 0.5, + 0.5 for unknown tokens), with c over all training tokens. So the probabilities of all known
-    tokens and of one unknown token per class sum to 1. Both are trained on the counts of all training rows, in full epochs without draws.
+    @staticmethod
+    def of(tokens: np.ndarray, counts: np.ndarray, shapes: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+        """From the most frequent tokens in order of their counts; and the rows of those that are classes or words of their own."""
+        real = np.flatnonzero(tokens != END)
+        n_words = int((counts[real] >= LEAST_SEEN).sum())
+        n_frequent = min(max(FREQUENT, int(n_words**0.5)), MOST_FREQUENT)
+        names = tokens[real[:n_frequent]]
+        words = real[n_frequent:n_words]
+        words = words[np.argsort(shapes[words], kind="stable")]
+        firsts = np.searchsorted(shapes[words], np.arange(SHAPES + 1)) + np.arange(SHAPES + 1)
+        numbers = np.arange(len(words)) + shapes[words]
+        order = np.argsort(tokens[words], kind="stable")
+        own = Vocabulary(Members(names), np.argsort(names, kind="stable") + 1, Members(tokens[words]), numbers[order], firsts)
+        return own, np.concatenate((real[:n_frequent], words))
+
+    @property
+    def first_shape(self) -> int:
+        return 1 + len(self.ranks)
+
+    @property
+    def n_classes(self) -> int:
+        return self.first_shape + SHAPES
+
+    def read(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class and context of every token; and of those in shape classes their places, word numbers, and whether the word is its class's other."""
+        classes = tokens.classes(self.frequent, self.ranks)
+        contexts = tokens.contexts(classes, self.n_classes)
+        at = np.flatnonzero(classes >= self.first_shape)
+        words = self.firsts[1:][classes[at] - self.first_shape] - 1
+        mine, which = self.known.find(tokens.hash[at])
+        words[mine] = self.numbers[which]
+        rest = np.ones(len(at), dtype=bool)
+        rest[mine] = False
+        return classes, contexts, at, words, rest
 
-    Counts are kept by 64-bit hash of the token (two of n distinct tokens share one with odds n * n / 2**65). The 65,536 most
-    frequent are sent to the executors; the others' counts are joined to the documents' rare tokens, so hot tokens are never shuffled by
-    document. Texts are read three times and never shuffled. Null texts are empty and have an end only; a null
-    doc_id counts as empty text; repeated rows are learned from and scored each; no rows give no rows; other columns are ignored.
-    """
-    fold = remainder_of_id(F.col("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), (fold % modulus == held_out).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    training = texts.where("NOT held_out").select("text")
-    counts = materialize(training.mapInArrow(_count_tokens, _COUNTS).groupBy("token").agg(F.max("shape").alias("shape"), F.sum("n").alias("n")), "token-counts")
+
+@dataclass(frozen=True)
+class Model:
+    """Both levels, and the logarithms by which the tokens without vectors share what is left to them."""
+
+    vocabulary: Vocabulary
+    classes: LogBilinear
+    norms: np.ndarray
+    words: WordModel
+    shares: np.ndarray
+    head: Members
+    head_logs: np.ndarray
+    n_train: int
+    n_distinct: int
+
+    def log10(self, tokens: Tokens, part: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 p of every token but for the counts of rare ones, log10 (c + 0.5) of every token in the head (0 for others), and the places of the others.
+
+        Rare tokens are other words of their classes: their own log10 (c + 0.5) is to be added.
+        """
+        classes, contexts, at, words, rest = self.vocabulary.read(tokens)
+        shapes = classes[at] - self.vocabulary.first_shape
+        gain = np.empty(len(classes))
+        for lo in range(0, len(classes), part):
+            here = slice(lo, lo + part)
+            gain[here] = self.classes.log10(contexts[here], classes[here], self.norms)
+        for lo in range(0, len(at), part):
+            here = slice(lo, lo + part)
+            gain[at[here]] += self.words.log10(contexts[at[here]] % (self.vocabulary.n_classes + 1), words[here], shapes[here])
+        others = at[rest]
+        gain[others] -= self.shares[shapes[rest]]
+        found, which = self.head.find(tokens.hash)
+        logs = np.zeros(len(classes))
+        logs[found] = self.head_logs[which]
+        gain[others] += logs[others]
+        rare = np.ones(len(classes), dtype=bool)
+        rare[found] = False
+        return gain, logs, np.flatnonzero(rare)
+
+
+def learn_model(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all training rows (column text, binary), and the counts of all tokens (token, shape, n)."""
+    counts = materialize(training.select("text").mapInArrow(_count_tokens, _COUNTS).groupBy("token").agg(F.max("shape").alias("shape"), F.sum("n").alias("n")), "token-counts")
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, n_distinct = int(totals["n"] or 0), int(totals["v"])
     top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
-    top_tokens = top.column("token").to_numpy().view(np.uint64) if top.num_rows else np.empty(0, dtype=np.uint64)
-    top_counts = top.column("n").to_numpy() if top.num_rows else np.empty(0, dtype=np.int64)
-    top_shapes = top.column("shape").to_numpy() if top.num_rows else np.empty(0, dtype=np.int32)
-    real = np.flatnonzero(top_tokens != END)
-    n_words = int((top_counts[real] >= LEAST_SEEN).sum())
-    n_frequent = min(max(FREQUENT, int(n_words**0.5)), MOST_FREQUENT)
-    names = top_tokens[real[:n_frequent]]
-    frequent = Members(names)
-    ranks = np.argsort(names, kind="stable") + 1
-    first_shape = 1 + len(names)
-    n_classes = first_shape + SHAPES
-    # words with vectors are numbered by class; the last number of a class is that of its other tokens
-    vocabulary = real[n_frequent:n_words]
-    vocabulary = vocabulary[np.argsort(top_shapes[vocabulary], kind="stable")]
-    firsts = np.searchsorted(top_shapes[vocabulary], np.arange(SHAPES + 1)) + np.arange(SHAPES + 1)
-    numbers = np.arange(len(vocabulary)) + top_shapes[vocabulary]
-    others = firsts[1:] - 1
-    order = np.argsort(top_tokens[vocabulary], kind="stable")
-    known_words, numbers = Members(top_tokens[vocabulary]), numbers[order]
-    totals_of = np.zeros(SHAPES)
+    column = lambda name, kind: top.column(name).to_numpy().astype(kind) if top.num_rows else np.empty(0, dtype=kind)
+    tokens, n, shapes = column("token", np.int64).view(np.uint64), column("n", np.int64), column("shape", np.int32)
+    vocabulary, apart = Vocabulary.of(tokens, n, shapes)
+    n_classes = vocabulary.n_classes
+    left = np.zeros(SHAPES)
     for r in counts.where("shape >= 0").groupBy("shape").agg((F.sum("n") + 0.5 * F.count(F.lit(1))).alias("total")).collect():
-        totals_of[r["shape"]] = float(r["total"])
-    apart = np.concatenate((real[:n_frequent], vocabulary))
-    totals_of -= np.bincount(top_shapes[apart], weights=top_counts[apart] + 0.5, minlength=SHAPES)
-    class_totals = np.log10(totals_of + 0.5)
+        left[r["shape"]] = float(r["total"])
+    left -= np.bincount(shapes[apart], weights=n[apart] + 0.5, minlength=SHAPES)
     size = (n_classes + 1) ** 2 * n_classes
 
-    def numbered(tokens: Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens in shape classes: their places, word numbers, and whether the word is its class's other."""
-        at = np.flatnonzero(classes >= first_shape)
-        words = others[classes[at] - first_shape]
-        mine, which = known_words.find(tokens.hash[at])
-        words[mine] = numbers[which]
-        rest = np.ones(len(at), dtype=bool)
-        rest[mine] = False
-        return at, words, rest
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, dtype=np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -351,63 +389,64 @@ def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFra
 
         for batch in batches:
             for _, _, raw, offsets in text_runs(batch.column(0)):
-                tokens = Tokens(raw, offsets)
-                classes = tokens.classes(frequent, ranks)
-                contexts = tokens.contexts(classes, n_classes)
-                codes, n = np.unique(contexts * n_classes + classes, return_counts=True)
-                seen[codes] += n
-                at, words, _ = numbered(tokens, classes)
+                classes, contexts, at, words, _ = vocabulary.read(Tokens(raw, offsets))
+                codes, times = np.unique(contexts * n_classes + classes, return_counts=True)
+                seen[codes] += times
                 held.append(np.unique(words * (n_classes + 1) + contexts[at] % (n_classes + 1), return_counts=True))
                 if sum(len(x) for x, _ in held) > 3_000_000:
                     held = [merged()]
         codes = np.flatnonzero(seen)
         # pairs of a class and a word are numbered beyond the trigrams
-        for keys, n in [(codes, seen[codes])] + [(x + size, n) for x, n in ([merged()] if held else [])]:
+        for keys, times in [(codes, seen[codes])] + [(x + size, k) for x, k in ([merged()] if held else [])]:
             for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(n[at : at + 100_000], pa.int64())], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(times[at : at + 100_000], pa.int64())], names=["code", "n"])
 
-    gathered = materialize(training.mapInArrow(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    gathered = materialize(training.select("text").mapInArrow(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
 
     def collected(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = part.toArrow()
-        codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+        codes, times = rows.column("code").to_numpy(), rows.column("n").to_numpy()
         order = np.argsort(codes)
-        return codes[order], n[order]
+        return codes[order], times[order]
 
-    model = train(*collected(gathered.where(F.col("code") < size)), classes=n_classes)
-    norms = model.norms()
-    codes, n_seen = collected(gathered.where(F.col("code") >= size))
+    classes = train(*collected(gathered.where(F.col("code") < size)), classes=n_classes)
+    codes, times = collected(gathered.where(F.col("code") >= size))
     codes = codes - size
-    word_model = train_words(codes % (n_classes + 1), codes // (n_classes + 1), n_seen, firsts, n_classes)
-    del codes, n_seen
-    order = np.argsort(top_tokens)
-    head, head_logs = Members(top_tokens), _log(top_counts[order])
+    words = train_words(codes % (n_classes + 1), codes // (n_classes + 1), times, vocabulary.firsts, n_classes)
+    order = np.argsort(tokens)
+    model = Model(vocabulary, classes, classes.norms(), words, np.log10(left + 0.5), Members(tokens), _log(n[order]), int(totals["n"] or 0), int(totals["v"]))
+    return model, counts
+
+
+def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
+
+    Tokens are runs of anything but ASCII white space, A-Z lower-cased, and one end per text. Rows whose
+    crc32(doc_id as text) modulo `modulus` is held_out are scored but not learned from. base_score is the smoothed unigram
+    log10 probability, score that of the model: p(token) = p(class | classes of the two tokens before) * p(token | class).
+
+    The first factor is a log-bilinear model over classes: the end, the most frequent tokens alone (95 to 191, as the square root of the
+    vocabulary), and 64 classes of all others by first and last letters. The second is a log-bilinear model of the words within a class after the class before: each of the
+    65,536 most frequent tokens that are seen 5 times or more has a vector, and one word stands for all other tokens of the class, which share its
+    probability as (c + 0.5) / (sum of c + 0.5, + 0.5 for unknown tokens), with c over all training tokens. So the probabilities of all known
+    tokens and of one unknown token per class sum to 1. Both are trained on the counts of all training rows, in full epochs without draws.
+
+    Counts are kept by 64-bit hash of the token (two of n distinct tokens share one with odds n * n / 2**65). The 65,536 most
+    frequent are sent to the executors; the others' counts are joined to the documents' rare tokens, so hot tokens are never shuffled by
+    document. Texts are read three times and never shuffled. Null texts are empty and have an end only; a null
+    doc_id counts as empty text; repeated rows are learned from and scored each; no rows give no rows; other columns are ignored.
+    """
+    fold = remainder_of_id(F.col("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), (fold % modulus == held_out).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    model, counts = learn_model(texts.where("NOT held_out").select("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, raw, offsets in text_runs(batch.column(2)):
+            for first, _, raw, offsets in text_runs(batch.column(2)):
                 tokens = Tokens(raw, offsets)
                 n = tokens.n_texts
-                classes = tokens.classes(frequent, ranks)
-                contexts = tokens.contexts(classes, n_classes)
-                gain = np.empty(len(classes))
-                for lo in range(0, len(classes), 1 << 16):
-                    gain[lo : lo + (1 << 16)] = model.log10(contexts[lo : lo + (1 << 16)], classes[lo : lo + (1 << 16)], norms)
-                inner, words, rest = numbered(tokens, classes)
-                shapes = classes[inner] - first_shape
-                for lo in range(0, len(inner), 1 << 16):
-                    part = slice(lo, lo + (1 << 16))
-                    gain[inner[part]] += word_model.log10(contexts[inner[part]] % (n_classes + 1), words[part], shapes[part])
-                by_count = inner[rest]
-                gain[by_count] -= class_totals[shapes[rest]]
-                at, which = head.find(tokens.hash)
-                logs = np.zeros(len(classes))
-                logs[at] = head_logs[which]
-                gain[by_count] += logs[by_count]
-                rare = np.ones(len(classes), dtype=bool)
-                rare[at] = False
-                rare = np.flatnonzero(rare)
-                known = np.bincount(tokens.text[at], minlength=n)
+                gain, logs, rare = model.log10(tokens)
+                known = tokens.counts - np.bincount(tokens.text[rare], minlength=n)
                 order = rare[np.lexsort((tokens.hash[rare], tokens.text[rare]))]
                 h, t = tokens.hash[order], tokens.text[order]
                 fresh = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])))) if len(h) else np.empty(0, dtype=np.int64)
@@ -428,8 +467,8 @@ def score_texts(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFra
         .agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"))
     )
     more = F.coalesce("more", F.lit(0.0))
-    weight = float(np.log10(n_train + 0.5 * (n_distinct + 1)))
+    weight = float(np.log10(model.n_train + 0.5 * (model.n_distinct + 1)))
     return scored.drop("rare", "times").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * F.lit(weight)).alias("base_score"), (F.col("model") + more).alias("score"),
     )

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillsight.llm import common, decontaminate as dc, html_text, language_model as lm, licenses, toxicity
 
@@ -55,6 +56,54 @@ def test_lm_scores(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_scores_equal_a_direct_evaluation(spark):
+    """Each text's score from the parameters, a token at a time in plain Python, with sums over whole classes and vocabularies for the normalisers."""
+    rng = random.Random(2)
+    nouns = [f"noun{i}" for i in range(150)]
+    rows = [(i, " ".join(rng.choice(["the", "a", "no", *nouns]) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(300, "unseen words zzz the noun1"), (301, None)]
+    docs = frame(spark, rows)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    model, _ = lm.learn_model(training)
+    counts = Counter(w for d, t in rows if not held(d) for w in tokens(t)[:-1])
+    v, net, words = model.vocabulary, model.classes, model.words
+    names = {w: (int(v.ranks[np.searchsorted(v.frequent.keys, np.uint64(common.word_hash(w)))]) if np.uint64(common.word_hash(w)) in v.frequent.keys else None) for w in {x for _, t in rows for x in tokens(t)[:-1]}}
+    shape = lambda w: int(lm._shapes(common.words_in(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]), common.SPACED))[0])
+    number = {w: int(v.numbers[np.searchsorted(v.known.keys, np.uint64(common.word_hash(w)))]) for w in names if np.uint64(common.word_hash(w)) in v.known.keys}
+    assert len(number) > 30
+    left = Counter()
+    for w, c in counts.items():
+        if names[w] is None and w not in number:
+            left[shape(w)] += c + 0.5
+
+    def probability(one, two, w):
+        """p(w | classes one before and two before)."""
+        mine = 0 if w is None else names[w] if names[w] is not None else v.first_shape + shape(w)
+        predicted = net.position[0] * net.context[one] + net.position[1] * net.context[two]
+        scores = [math.exp(float(predicted @ net.target[c]) + float(net.bias[c])) for c in range(v.n_classes)]
+        p = scores[mine] / sum(scores)
+        if w is None or names[w] is not None:
+            return p, mine
+        lo, hi = v.firsts[shape(w)], v.firsts[shape(w) + 1]
+        own = [math.exp(float(words.context[one] @ words.target[i]) + float(words.bias[i])) for i in range(lo, hi)]
+        at = number.get(w, hi - 1)
+        p *= own[at - lo] / sum(own)
+        return (p if w in number else p * (counts[w] + 0.5) / (left[shape(w)] + 0.5)), mine
+
+    def score(text):
+        one = two = v.n_classes
+        total = 0.0
+        for w in [*tokens(text)[:-1], None]:
+            p, mine = probability(one, two, w)
+            total += math.log10(p)
+            one, two = mine, one
+        return total
+
+    got = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    for d, t in rows:
+        assert got[d] == pytest.approx(score(t), abs=2e-5 * (1 + len(tokens(t)))), d
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, (lm.CLASSES + 1) ** 2 * lm.CLASSES, 5000))
