@@ -18,6 +18,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import lexicon
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 _WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 _ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*")
 _SENTENCE_END = re.compile(r"[.!?]+[\t\n\f\r ]+")
@@ -115,6 +120,13 @@ class Reader:
     def __init__(self, phrases: Sequence[tuple] = lexicon.PHRASES, common: Sequence[str] = lexicon.COMMON_WORDS, contractions: Sequence[str] = lexicon.CONTRACTIONS):
         self.phrases = [(pattern, float(weight)) for _, _, pattern, weight in phrases]
         self.contractions = list(contractions)
+        # one pass for all patterns where that package is there, else one search for each
+        self.automaton = None
+        if ahocorasick is not None and self.phrases:
+            self.automaton = ahocorasick.Automaton()
+            for pattern, _ in self.phrases:
+                self.automaton.add_word(pattern, pattern)
+            self.automaton.make_automaton()
         self.common = frozenset(common)
         self.marks: dict[str, bool] = {}
         self.forget()
@@ -174,7 +186,11 @@ class Reader:
         n_complex = sum(c for f, c in facts if f[3])
         rare = len({f[0] for f, _ in facts if f[5]})
         marks = self.punctuation(text)
-        found = [(pattern, weight) for pattern, weight in self.phrases if pattern in low_text]
+        if self.automaton is None:
+            found = [(pattern, weight) for pattern, weight in self.phrases if pattern in low_text]
+        else:
+            hits = {pattern for _, pattern in self.automaton.iter(low_text)}
+            found = [(pattern, weight) for pattern, weight in self.phrases if pattern in hits] if hits else []
         two, three = grams(low, 2), grams(low, 3)
         syllables_of = [sum(map(sizes.__getitem__, own)) for own in by_sentence]
         out = {
