@@ -261,6 +261,27 @@ def test_detections_within_others_go():
         assert licenses.resolve(found) == sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
+def test_scan_equals_all_rules_without_gates(spark):
+    """The whole result by hand: every rule on every text, what lies within a stronger detection goes, places in characters."""
+    rng, rules = random.Random(17), licenses.signatures()
+    pieces = [_examples(re._parser.parse(r.pattern.pattern), rng.randrange).decode("latin-1") for r in rules for _ in range(2)]
+    texts = [" ".join(rng.choice([rng.choice(pieces), "mit license", "Apache License", "some words", "é", "the"]) for _ in range(rng.randint(0, 12))) for _ in range(250)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        data = low.encode()
+        found = [(r.label, m.start(), m.end(), r.priority) for r in rules for m in r.pattern.finditer(data)]
+        kept = []
+        for x in sorted(found, key=lambda d: (-d[3], d[1] - d[2], d[1], d[0])):
+            if not any(y[1] <= x[1] and x[2] <= y[2] for y in kept):
+                kept.append(x)
+        size = lambda at, data=data: len(data[:at].decode("utf-8", "ignore"))
+        assert sorted((s.label, s.start, s.end, s.priority) for s in got[i].spans) == sorted((a, size(b), size(c), d) for a, b, c, d in kept)
+        base = {x for x in license_by_hand(text)[4].split(",") if x}
+        assert got[i].labels == ",".join(sorted(base | {k[0] for k in kept}))
+        assert got[i].score == max([k[3] / 100 for k in kept] + [0.5] * bool(base), default=0.0)
+
+
 def test_many_notices_in_one_text(spark):
     import time
 
@@ -379,6 +400,87 @@ def test_pairing_ignores_copies_and_ranges(spark):
     assert len(one) == len(rows) and extracted(spark, rows, 7) == one and extracted(spark, rows, 40) == one
 
 
+def extracted_by_hand(rows):
+    """Pairing over the whole sorted table and a table of common lengths, for pages of p elements in a body or an article."""
+    import hashlib
+
+    def key(row):
+        host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", row[1]).groups()
+        return host, path, row[0] is not None, row[0] or 0
+
+    def blocks(page):
+        return re.findall(r"<p>(.*?)</p>", page)
+
+    def body(page):
+        inner = re.search(r"<article>(.*)</article>", page)
+        return blocks(inner[1] if inner else page)
+
+    def common_blocks(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                size[i][j] = 1 + size[i + 1][j + 1] if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+        out, i, j = set(), 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(a[i])
+                i, j = i + 1, j + 1
+            elif size[i + 1][j] >= size[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def alike(path, other):
+        n = 0
+        while n < min(len(path), len(other)) and path[n] == other[n]:
+            n += 1
+        return path[:n].count("/"), n
+
+    table = sorted(rows, key=lambda r: (*key(r), hashlib.md5(r[2].encode()).digest()))
+    out = []
+    for at, (page_id, _, page) in enumerate(table):
+        host, path = key(table[at])[:2]
+        near = []
+        for step in (-1, 1):
+            i = at + step
+            while 0 <= i < len(table) and key(table[i])[0] == host and body(table[i][2]) == body(page):
+                i += step
+            if 0 <= i < len(table) and key(table[i])[0] == host:
+                near.append(table[i])
+        near.sort(key=lambda r: [-x for x in alike(path, key(r)[1])])
+        own, gone = body(page), set()
+        for other in near:
+            shared = common_blocks(blocks(page), blocks(other[2])) & set(own)
+            if "<article>" not in page or 2 * sum(map(len, shared)) < sum(map(len, own)):
+                gone = shared
+                break
+        out.append((page_id or 0, "\n".join(x for x in own if x not in gone)))
+    return sorted(out)
+
+
+def test_extraction_equals_brute_force(spark):
+    """Pages of several hosts, with frames that change along the paths, copies, near copies, articles and pages without; whatever the ranges."""
+    rng = random.Random(31)
+    rows = []
+    for host in ("a.org", "b.org", "c.org", "lone.org"):
+        pages = []
+        for i in range(1 if host == "lone.org" else 30):
+            frame = [f"banner {host}", f"section {i // 7} {host}", f"terms {host}", f"contact {i // 11} {host}"]
+            own = [f"{host} own {i} {j} " + "w" * rng.randint(3, 60) for j in range(rng.randint(1, 6))]
+            if pages and rng.random() < 0.25:
+                own = list(rng.choice(pages))
+                own = own if rng.random() < 0.5 else [*own[:-1], f"changed {i}"]
+            pages.append(own)
+            inner = "".join(f"<p>{x}</p>" for x in [frame[1], *own, frame[3]])
+            inner = f"<article>{inner}</article>" if rng.random() < 0.5 else inner
+            rows.append((len(rows) + 1, f"http://{host}/s{i // 7}/p{rng.randrange(100):02d}", f"<body><p>{frame[0]}</p>{inner}<p>{frame[2]}</p></body>"))
+    rows += [rows[3], rows[3], (None, rows[40][1], rows[40][2])]
+    expected = extracted_by_hand(rows)
+    for parts in (1, 5, 30):
+        assert sorted((r[0] or 0, r[2]) for r in extracted(spark, rows, parts)) == expected
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(2)
     for _ in range(200):
