@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import lexicon, routing, text as tx
 from ..operators import store, text_signals as ts, verdicts
 from ..operators.text_pass import read_texts
-from ..sources import shared
+from ..sources import readers, shared
 from ..streaming import rate_limit
 from . import text_sql
 
@@ -276,6 +276,28 @@ def content_type_by_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", routing.type_of_url(F.col("url")).alias("content_type"))
 
 
+#: Uploaded parts: name and MIME type.
+_UPLOADS = (("a.png", "image/png"), ("b.txt", "application/octet-stream"), ("c.mp3", ""), ("d", "audio/mpeg"), ("e.pdf", "application/pdf"), ("f.jpg", "video/mp4; x=1"), ("g.WAV", None), ("", "text/html"))
+
+
+@query("uploads", "SELECT filename, coalesce(CASE WHEN mime LIKE 'text/%' OR mime IN ('application/json', 'application/xml') THEN 'text' WHEN split_part(mime, '/', 1) IN ('image', 'audio', 'video') THEN split_part(mime, '/', 1) END, kind) AS content_type, CASE WHEN filename = '' THEN 'no content' END AS error FROM (SELECT filename, mime, "
+       + _extension_case("filename") + " AS kind FROM (VALUES " + ", ".join(f"('{f}', " + ("NULL" if m is None else f"'{m}'") + ")" for f, m in _UPLOADS) + ") AS v(filename, mime))")
+def uploads(spark, sf_dir):
+    """Parts of uploads as items; the nameless one is empty."""
+    rows = spark.createDataFrame([(f, m, bytearray(b"x" if f else b"")) for f, m in _UPLOADS], "filename string, mime string, data binary")
+    return readers.uploads_as_items(rows).select("filename", "content_type", "error")
+
+
+@query("fetched_pages", _with(text_sql.scored("SELECT page_id AS k, coalesce(html, '') AS t FROM pages"), "SELECT k AS page_id, CASE WHEN t <> '' THEN round(ai_score, 6) END AS ai_score, CASE WHEN t = '' THEN 'no content' END AS error FROM scored JOIN d USING (k)"))
+def fetched_pages(spark, sf_dir):
+    """Every page as a text that has been fetched from its URL, scored with its markup."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit(200).alias("status"), F.col("html").alias("body"))
+    items = spread(readers.fetched_as_items(rows, "text").select("page_id", "text", "error"))
+    scored = read_texts(items, lexicon.SIGNALS, keep=["page_id", "error"])
+    score = ts.weighted_score([F.col(n) for n in lexicon.SIGNALS], lexicon.preset_weights())
+    return scored.select("page_id", F.when(F.col("error").isNull(), F.round(score, 6)).alias("ai_score"), "error")
+
+
 @query("content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", routing.content_hash(F.col("text")).alias("content_hash"))

@@ -45,6 +45,35 @@ def requests_as_items(rows: DataFrame) -> DataFrame:
     return out.withColumn("content_type", kind).withColumn("error", routing.validation_error(F.col("text"), F.col("url")))
 
 
+def uploads_as_items(rows: DataFrame, most_bytes: int = routing.MOST_FILE) -> DataFrame:
+    """Uploaded parts (filename, mime, data) as items with an error column: the type by MIME, else by name; the bytes are never looked at for it."""
+    by_mime = routing.type_of_mime(F.col("mime"))
+    kind = F.when(by_mime != "unknown", by_mime).otherwise(routing.type_of_filename(F.col("filename")))
+    none = F.lit(None).cast("string")
+    out = rows.select(none.alias("url"), none.alias("text"), F.col("data").cast("binary").alias("data"), "filename", kind.alias("content_type"))
+    return out.withColumn("error", routing.validation_error(F.col("text"), F.col("url"), F.col("data"), most_bytes))
+
+
+def fetched_as_items(rows: DataFrame, content_type: str | None = None) -> DataFrame:
+    """What has been fetched (url, status, body) as items with an error column. Other columns pass through.
+
+    The type is the given one, or that of the URL. Bodies are cut to the limit of their type (FETCH_LIMITS) before anything reads them; those of texts become text (cut
+    characters become replacement characters), others bytes. Anything but status 200, and no body, is an error. Nothing is fetched here.
+    """
+    kind = F.lit(content_type) if content_type else routing.type_of_url(F.col("url"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for item in routing.FETCH_LIMITS.items() for x in item]), F.col("content_type"))
+    fine = F.coalesce(F.col("status") == 200, F.lit(False))
+    own = [c for c in rows.columns if c not in ("text", "data", "filename", "content_type", "error", "body", "status")]
+    out = rows.select(*own, "status", kind.alias("content_type"), F.col("body").cast("binary").alias("body"))
+    cut = F.when(fine & (F.col("content_type") != "unknown"), F.substring(F.col("body"), F.lit(1), limit))
+    error = (
+        F.when(~fine, F.concat(F.lit("status "), F.coalesce(F.col("status").cast("string"), F.lit("unknown")))).when(F.col("content_type") == "unknown", "unsupported content type: unknown")
+        .when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, "no content")
+    )
+    text = F.when(F.col("content_type") == "text", F.make_valid_utf8(cut.cast("string")))
+    return out.select(*own, text.alias("text"), F.when(F.col("content_type") != "text", cut).alias("data"), F.lit(None).cast("string").alias("filename"), "content_type", error.alias("error"))
+
+
 def read_files(spark: SparkSession, path: str, content_type: str | None = None) -> DataFrame:
     """Files as items, the type by name; empty files give no rows. content_type: only files with its extensions are listed and read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -38,6 +38,15 @@ def test_requests(spark, tmp_path):
     assert sorted((r.content_type, r.error or "") for r in got) == [("image", ""), ("text", ""), ("text", "text too short"), ("unknown", "no content")]
 
 
+def test_fetched(spark):
+    rows = [(1, "https://a.com/x.txt", 200, b"some text"), (2, "https://a.com/x.txt", 404, b"gone"), (3, "https://a.com/x.png", 200, b"\x89PNG"), (4, "https://a.com/", 200, b"?"), (5, "https://a.com/y.txt", 200, b""), (6, "https://a.com/y.txt", None, None), (7, "https://a.com/z.md", 200, b"a" * (1 << 20) + b"more")]
+    fetched = spark.createDataFrame([(i, u, s, bytearray(b) if b is not None else None, "own") for i, u, s, b in rows], "id long, url string, status int, body binary, text string")
+    got = {r.id: r for r in readers.fetched_as_items(fetched).collect()}
+    assert got[1].text == "some text" and got[3].text is None and bytes(got[3].data) == b"\x89PNG" and len(got[7].text) == 1 << 20
+    assert {i: r.error for i, r in got.items()} == {1: None, 2: "status 404", 3: None, 4: "unsupported content type: unknown", 5: "no content", 6: "status unknown", 7: None}
+    assert got[2].text is None and got[2].data is None
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("héllo")
