@@ -164,13 +164,12 @@ def _sounds(spark: SparkSession) -> DataFrame:
 
 @query("sound_spectrum", _SQL + media_sql.SPECTRUM)
 def sound_spectrum(spark, sf_dir):
-    """Spectra of the WAV items; formants have a query of their own."""
     return _sounds(spark).select("item", *[F.round(f"sound.spectrum.{c}", 6).alias(c) for c in ("centroid", "flatness", "rolloff", "bandwidth", "harmonic_ratio", "flux")])
 
 
-@query("sound_formants")
+@query("sound_formants", _SQL + media_sql.FORMANTS)
 def sound_formants(spark, sf_dir):
-    return _sounds(spark).select("item", F.posexplode("sound.spectrum.formants").alias("place", "hz"))
+    return _sounds(spark).select("item", F.posexplode("sound.spectrum.formants").alias("place", "hz")).withColumn("hz", F.round("hz", 6))
 
 
 @query("sound_cepstrum", _SQL + media_sql.CEPSTRUM)

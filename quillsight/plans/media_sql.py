@@ -273,13 +273,16 @@ verdicts AS (SELECT item, 'image' AS content_type, ai_score FROM image_scores UN
 VERDICTS = VERDICTS_TABLE + """
 SELECT item, content_type, round(ai_score, 6) AS ai_score, round(ai_score, 9) < 0.5 AS human, round(abs(ai_score - 0.5) * 2, 6) AS confidence FROM verdicts"""
 
-SPECTRUM = AUDIO + """,
+_STEPS = AUDIO + """,
 tones AS MATERIALIZED (SELECT item, j, s / 32768 AS x FROM pcm),
 hops AS (SELECT item, unnest(range(CASE WHEN count(*) < 8192 OR (count(*) - 4096) // 2048 < 2 THEN 1 ELSE least(50, (count(*) - 4096) // 2048) END)) AS f FROM tones GROUP BY item),
 windowed AS MATERIALIZED (SELECT item, f, j - f * 2048 AS t, x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (j - f * 2048) / 4095)) AS x FROM tones JOIN hops USING (item) WHERE j >= f * 2048 AND j < f * 2048 + 4096),
 waves AS MATERIALIZED (SELECT k AS a, cos(2 * pi() * k / 4096) AS c, sin(2 * pi() * k / 4096) AS s FROM (SELECT unnest(range(4096)) AS k)),
 spectra AS MATERIALIZED (SELECT item, f, b, sqrt(sum(x * c) ** 2 + sum(x * s) ** 2) AS m FROM windowed CROSS JOIN (SELECT unnest(range(2048)) AS b) JOIN waves ON a = (t * b) % 4096 GROUP BY item, f, b),
 step AS (SELECT item, b, m, b * 16000 / 4096::DOUBLE AS hz, sum(m * m) OVER (PARTITION BY item ORDER BY b) AS energy, sum(m * m) OVER (PARTITION BY item) AS whole FROM spectra WHERE f = 0),
+"""
+_STEPS = _STEPS.rstrip().rstrip(",")
+SPECTRUM = _STEPS + """,
 centre_ AS (SELECT item, sum(hz * m) / sum(m) AS centroid, exp(avg(ln(greatest(m, 1e-10)))) / avg(greatest(m, 1e-10)) AS flatness, min(hz) FILTER (energy >= whole * 0.85::DOUBLE) AS rolloff, sum(m * m) AS energy FROM step GROUP BY item),
 wide AS (SELECT item, sqrt(sum((hz - centroid) ** 2 * m) / sum(m)) AS bandwidth FROM step JOIN centre_ USING (item) GROUP BY item),
 root AS (SELECT item, arg_max(b, m) AS r, max(m) AS m FROM step WHERE b BETWEEN CAST(floor(80 / (16000 / 4096::DOUBLE)) AS INTEGER) AND CAST(floor(400 / (16000 / 4096::DOUBLE)) AS INTEGER) GROUP BY item),
@@ -290,6 +293,15 @@ flux AS (SELECT c.item, coalesce((SELECT avg(x) FROM rises r WHERE r.item = c.it
 SELECT item, round(centroid, 6) AS centroid, round(flatness, 6) AS flatness, round(rolloff, 6) AS rolloff, round(bandwidth, 6) AS bandwidth, round(harmonic_ratio, 6) AS harmonic_ratio, round(flux, 6) AS flux
 FROM centre_ JOIN wide USING (item) JOIN harmony USING (item) JOIN flux USING (item)"""
 
+#: Peaks between 200 and 4,000 Hz that stand out, each six bins after the one before at least, five at most.
+FORMANTS = _STEPS + """,
+levels AS (SELECT item, avg(m) * 1.5::DOUBLE AS level FROM step WHERE b BETWEEN 51 AND 1024 GROUP BY item),
+near_ AS (SELECT item, b, hz, m, greatest(lag(m, 2) OVER w, lag(m) OVER w, lead(m) OVER w, lead(m, 2) OVER w) AS beside FROM step WINDOW w AS (PARTITION BY item ORDER BY b)),
+tops_ AS MATERIALIZED (SELECT item, b, hz FROM near_ JOIN levels USING (item) WHERE m > beside AND m > level AND b BETWEEN 53 AND 1021),
+chosen AS (SELECT item, min(b) AS b, 0 AS place FROM tops_ GROUP BY item
+  UNION ALL SELECT c.item, (SELECT min(t.b) FROM tops_ t WHERE t.item = c.item AND t.b >= c.b + 6), place + 1 FROM chosen c WHERE c.b IS NOT NULL AND place < 4)
+SELECT item, place, round(hz, 6) AS hz FROM chosen JOIN tops_ USING (item, b)"""
+
 #: Frames of 512 samples every 160, 26 filters, 13 coefficients, as for 16 kHz by default.
 CEPSTRUM = AUDIO + """,
 tones AS MATERIALIZED (SELECT item, j, s / 32768 AS x FROM pcm),
