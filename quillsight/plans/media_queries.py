@@ -197,9 +197,9 @@ def media_verdicts(spark, sf_dir):
     parts = []
     for kind, analyse in (("image", image.analyze_images), ("audio", audio.analyze_audios), ("video", video.analyze_videos)):
         part = analyse(rows.where(F.col("content_type") == kind))
-        parts.append(part.select("item", "content_type", F.round(F.col(kind).ai_score, 9).alias("ai_score")))
+        parts.append(part.select("item", "content_type", F.col(kind).ai_score.alias("ai_score")))
     out = verdicts.add_verdict(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    return out.select("item", "content_type", F.round("ai_score", 6).alias("ai_score"), "human", F.round("confidence", 6).alias("confidence"))
+    return out.select("item", "content_type", F.round("ai_score", 6).alias("ai_score"), (F.round("ai_score", 9) < 0.5).alias("human"), F.round("confidence", 6).alias("confidence"))
 
 
 _FOUND = """
@@ -220,13 +220,13 @@ def _mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(found: DataFrame) -> DataFrame:
-    """The result set, with scores to nine digits before the verdict and damaged items told apart from refused ones."""
-    rows = verdicts.add_verdict(found.withColumn("ai_score", F.round("ai_score", 9)))
+    """The result set, with verdicts on scores to nine digits and damaged items told apart from refused ones."""
+    rows = found.withColumn("human", F.round("ai_score", 9) < 0.5)
     error = F.when(F.col("error").contains("Error:"), "unreadable").otherwise(F.col("error"))
     return rows.select("item", "content_type", "human", F.round("confidence", 6).alias("confidence"), F.round("ai_score", 6).alias("ai_score"), F.array_join("detectors", ",").alias("detectors"), "content_hash", error.alias("error"))
 
 
-_RESULTS = "SELECT item, content_type, round(ai_score, 9) < 0.5 AS human, round(abs(round(ai_score, 9) - 0.5) * 2, 6) AS confidence, round(ai_score, 6) AS ai_score, {detectors} AS detectors, content_hash, error FROM {rows}"
+_RESULTS = "SELECT item, content_type, round(ai_score, 9) < 0.5 AS human, round(abs(ai_score - 0.5) * 2, 6) AS confidence, round(ai_score, 6) AS ai_score, {detectors} AS detectors, content_hash, error FROM {rows}"
 
 
 @query("detect_mixed", _RESULTS.format(detectors="CASE WHEN ai_score IS NOT NULL THEN 'local' END", rows=f"({_FOUND})"))
