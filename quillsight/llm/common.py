@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -16,11 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch, at most, while a table is written: by default 10,000 rows of up to 64 MB meet in one.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made within send batches of at most BATCH_ROWS and BATCH_BYTES to Python, or fewer if the session says so; then the settings are as before."""
+    before = {}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        before[key] = spark.conf.get(key, None)
+        own = before[key] or "0"
+        spark.conf.set(key, str(min(int(own), most)) if own.isdigit() and int(own) > 0 else str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors. sources.shared.remove_tables cleans up."""
     spark = df.sparkSession
     path = new_table(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
