@@ -16,6 +16,8 @@ FREQUENT, MOST_FREQUENT, SHAPES = 95, 191, 64
 CLASSES = 1 + FREQUENT + SHAPES
 #: Tokens seen so often, among the HEAD most frequent, have vectors of their own.
 LEAST_SEEN = 5
+#: After about so many tokens a task puts its 32-bit counts out.
+MOST_COUNTED = 2_000_000_000
 #: Stands for the end of a text among the token hashes.
 END = 0x656E64
 #: So many tokens with the highest counts are sent to the executors; the counts of others are joined.
@@ -126,7 +128,7 @@ class LogBilinear:
 def train(
     codes: np.ndarray, counts: np.ndarray, dimensions: int = 32, steps: int | None = None, batch: int = 1024, noise_ratio: int = 16, rate: float = 0.04, seed: int = 5, classes: int = CLASSES, epochs: int = 12
 ) -> LogBilinear:
-    """Noise-contrastive estimation on trigram counts of classes (code = context * classes + class).
+    """Noise-contrastive estimation on trigram counts of classes (code = context * classes + class), in order of their codes.
 
     Every epoch reads all codes with their counts, a batch of contexts with all classes at a time. Noise comes from the classes'
     frequencies; its expected counts are taken instead of draws, so nothing is sampled. The scores' normaliser is taken as 1 in training.
@@ -143,11 +145,16 @@ def train(
     noise /= noise.sum()
     bias = np.log(noise).astype(np.float32)
     offset = np.log(noise_ratio * noise).astype(np.float32)
-    pairs, row = np.unique(codes // classes, return_inverse=True)
-    place = random.permutation(len(pairs))
-    order = np.argsort(place[row], kind="stable")
+    contexts = codes // classes
+    fresh = np.concatenate(([True], contexts[1:] != contexts[:-1]))
+    pairs, row = contexts[fresh], (np.cumsum(fresh) - 1).astype(np.int32)
+    del contexts, fresh
+    place = random.permutation(len(pairs)).astype(np.int32)
+    row = place[row]
+    order = np.argsort(row, kind="stable")
     pairs = pairs[np.argsort(place)]
-    row, column, weight = place[row][order], (codes % classes)[order], counts[order].astype(np.float32)
+    row, column, weight = row[order], (codes % classes).astype(np.int32)[order], counts[order].astype(np.float32)
+    del order
     firsts = np.arange(0, len(pairs), batch)
     cuts = np.searchsorted(row, np.append(firsts, len(pairs)))
     mean = float(counts.sum()) / len(firsts)
@@ -379,33 +386,43 @@ def learn_model(training: DataFrame) -> tuple[Model, DataFrame]:
     size = (n_classes + 1) ** 2 * n_classes
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, dtype=np.int64)
+        # counts of at most MOST_COUNTED tokens, then they are put out and begin anew; they are summed as 64-bit numbers
+        seen = np.zeros(size, dtype=np.uint32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, counted = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
             distinct, inverse = np.unique(keys, return_inverse=True)
-            return distinct, np.bincount(inverse, weights=counted, minlength=len(distinct)).astype(np.int64)
+            return distinct, np.bincount(inverse, weights=times, minlength=len(distinct)).astype(np.int64)
 
+        def counted() -> Iterator[pa.RecordBatch]:
+            codes = np.flatnonzero(seen)
+            # pairs of a class and a word are numbered beyond the trigrams
+            for keys, times in [(codes, seen[codes])] + [(x + size, k) for x, k in ([merged()] if held else [])]:
+                for at in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(times[at : at + 100_000].astype(np.int64))], names=["code", "n"])
+
+        n_tokens = 0
         for batch in batches:
             for _, _, raw, offsets in text_runs(batch.column(0)):
                 classes, contexts, at, words, _ = vocabulary.read(Tokens(raw, offsets))
                 codes, times = np.unique(contexts * n_classes + classes, return_counts=True)
-                seen[codes] += times
+                seen[codes] += times.astype(np.uint32)
                 held.append(np.unique(words * (n_classes + 1) + contexts[at] % (n_classes + 1), return_counts=True))
                 if sum(len(x) for x, _ in held) > 3_000_000:
                     held = [merged()]
-        codes = np.flatnonzero(seen)
-        # pairs of a class and a word are numbered beyond the trigrams
-        for keys, times in [(codes, seen[codes])] + [(x + size, k) for x, k in ([merged()] if held else [])]:
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(times[at : at + 100_000], pa.int64())], names=["code", "n"])
+                n_tokens += len(classes)
+                if n_tokens > MOST_COUNTED:
+                    yield from counted()
+                    seen[:], held, n_tokens = 0, [], 0
+        yield from counted()
 
     gathered = materialize(training.select("text").mapInArrow(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams")
 
     def collected(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = part.toArrow()
         codes, times = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+        del rows
         order = np.argsort(codes)
         return codes[order], times[order]
 
