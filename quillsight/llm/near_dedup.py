@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ALNUM, common_subsequence, fresh, materialize, mix, shingle_hashes, text_runs, words_in
+from .common import ALNUM, common_subsequence, fresh, materialize, mix, shingle_hashes, small_batches, text_runs, words_in
 from .components import extended
 
 SHINGLE = 5
@@ -24,8 +24,8 @@ SMALL = 64
 LEADERS = 512
 #: Members of a bucket are dealt to tasks in groups of about this size.
 DEALT = 1024
-#: A bucket that stays open is split by so many other sketches of its members.
-SPLITS = 12
+#: Shingles are ordered by how often the slots occur that they fall in: 2**LEVEL_BITS numbers of one byte, at any size of the corpus.
+LEVEL_BITS = 20
 #: Bins of a signature, one byte each, to tell hopeless candidates without their texts.
 BINS = 512
 _BIN_BITS = 9
@@ -307,17 +307,19 @@ def _compared(least: float, at_once: int = 8192):
 
 def _dealt(here: DataFrame, marks: DataFrame, least: float, small: int, leaders: int) -> DataFrame:
     """The hopeful pairs a, b of the open buckets' rows: bucket, node, n_words, component, n (nodes of the bucket), rest (those outside of its
-    largest component), top (that component), star (the node that meets the most), starred."""
+    largest component), top (that component), star (the node that meets the most), starred, part (whether it is one shingle's), inner (see
+    _parts; all nodes of other buckets), inners (their number)."""
     name = F.xxhash64("node")
-    lead = F.when(F.col("n") <= small, True).when(~F.col("starred"), F.col("node") == F.col("star")).otherwise(F.col("component") != F.col("top"))
-    n_lead = F.when(F.col("n") <= small, F.col("n")).when(~F.col("starred"), F.lit(1)).otherwise(F.col("rest"))
+    few = F.col("inners") < F.col("rest")
+    lead = F.when(F.col("n") <= small, True).when(~F.col("starred"), F.col("node") == F.col("star")).when(few, F.col("inner")).otherwise(F.col("component") != F.col("top"))
+    n_lead = F.when(F.col("n") <= small, F.col("n")).when(~F.col("starred"), F.lit(1)).otherwise(F.least("inners", "rest"))
     blocks = F.ceil(n_lead / leaders).cast("int")
     salts = F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / DEALT)).cast("int")
     rows = (
         here.withColumn("lead", lead).withColumn("blocks", blocks).withColumn("salts", salts)
         .withColumn("own_block", F.pmod(F.shiftright(name, 20), F.col("blocks")).cast("int")).withColumn("own_salt", F.pmod(name, F.col("salts")).cast("int"))
     )
-    complete = ((F.col("n") <= small) | F.col("starred")) & (F.col("moved") == 0) & (F.col("blocks") == 1)
+    complete = ((F.col("n") <= small) | F.col("starred")) & ~F.col("part") & (F.col("blocks") == 1)
     whole = rows.where(complete).groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("whole"))
     whole = F.coalesce("whole", F.lit(0).cast("long")), rows.join(whole, "node", "left").join(marks, "node")
     # leaders stand in every salt of their own block; everything else in its own salt of every (other) block
@@ -348,9 +350,10 @@ def near_classes(docs: DataFrame, least: float = 0.8, small: int = SMALL, leader
        also get 24 sketches of two, those of fewer than 40 only these; they miss less than one in a million.
     2. Nodes with an equal sketch share a bucket. All pairs of a bucket of at most 64 nodes are looked at. The members of a larger one are first compared
        with its leader, the node that meets the most others, as the middle of a group does. That leaves few outside of the bucket's
-       largest component; then these are the leaders, and every pair of different components is looked at. Where more than 512 are left, the bucket is
-       split by 12 other sketches of its members, and each part is treated as a bucket. So a member is looked at with at most 512 leaders for each (sub-)bucket
-       that it is in, and a bucket's members are dealt to tasks in groups of about 1,024. What no other sketch can split is compared in blocks of leaders.
+       largest component; then these are the leaders, and every pair of different components is looked at. The members of buckets where more than 512 are
+       left get a part for each of their rarest shingles instead, and each part is treated as a bucket. Two of them as similar as 0.8 always share a part (see
+       prefix), so none is lost. A bucket's members are dealt to tasks in groups of about 1,024 and looked at with at most 512 leaders; only a part may have more, which
+       are dealt in blocks of 512. Parts of many texts that share their rarest shingles and yet aren't linked (the same passages in other orders) so take quadratic time.
     3. A look is at lengths and signatures (512 bins of one byte), in numpy; pairs which these rule out (less than one in a million wrongly) never become
        rows. The others are verified by alignment of their whole word lists, in linear memory.
 
@@ -371,15 +374,89 @@ def _offset() -> Column:
     return F.when((F.size("bands") == SKETCHES) & (F.col("n_words") - SHINGLE + 1 >= LONG), SKETCHES).otherwise(0)
 
 
-def _split(wide: DataFrame, bands: DataFrame) -> DataFrame:
-    """Members of buckets of their own for each of the next sketches, of the same kind, that a bucket's members share."""
-    step = F.explode(F.sequence(F.lit(1), F.least(F.lit(SPLITS), F.lit(SKETCHES - 1) - F.col("moved"))))
-    moved = wide.withColumn("step", step).join(bands.select("node", "bands", _offset().alias("offset")), "node")
-    at = F.floor(F.col("at") / SKETCHES) * SKETCHES + F.pmod(F.col("at") + F.col("step"), F.lit(SKETCHES))
-    parts = moved.withColumn("at", at.cast("int")).withColumn("moved", F.col("moved") + F.col("step"))
-    parts = materialize(parts.withColumn("bucket", F.xxhash64("bucket", "step", F.get("bands", F.col("at") - F.col("offset")))).drop("bands", "step", "offset"), "parts")
-    shared = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    return parts.join(shared, "bucket").withColumn("starred", F.lit(False))
+def labelled_runs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of a list of words: two lists share as many as their multisets of shingles do."""
+    runs = np.sort(_runs(words, SHINGLE))
+    at = np.arange(len(runs))
+    first = np.concatenate(([True], runs[1:] != runs[:-1]))
+    return mix(runs + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
+
+
+_COUNTED = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << LEVEL_BITS, dtype=np.int64)
+    for batch in batches:
+        for words in batch.column(0).to_pylist():
+            np.add.at(counts, _slots(labelled_runs(np.frombuffer(words, dtype=np.uint32))), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=_COUNTED.names)
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """For every slot, the binary logarithm of how many shingles of texts (words) fall in it."""
+    levels = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    counted = texts.select("words").mapInArrow(_slot_counts, _COUNTED).groupBy("slot").agg(F.sum("n").alias("n"))
+    with small_batches(texts.sparkSession):
+        counted = counted.select(F.col("slot").cast("int"), F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    levels[counted["slot"].to_numpy()] = counted["level"].to_numpy()
+    return levels
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The first (labelled) shingles of a text in one order of all shingles, rare slots first; and how many of them are inner ones.
+
+    Texts of x and y <= x shingles, as similar as least, share s >= least / (1 + least) * (x + y) of them, so s >= least * x and s >= 2 * least / (1 + least) * y.
+    Of x - s + 1 first ones of the one and y - s + 1 of the other at least one is shared. So the larger text's prefix meets the inner part of the smaller
+    one's, whatever the order.
+    """
+    ordered = hashes[np.lexsort((hashes, levels[_slots(hashes)]))]
+    n = len(ordered)
+    outer, inner = (n - int(np.ceil(share * n - 1e-6)) + 1 for share in (least, 2 * least / (1 + least)))
+    return ordered[:outer], inner
+
+
+_ENTRIES = T.StructType(
+    [T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("component", T.LongType()), T.StructField("inner", T.BooleanType())]
+)
+
+
+def _prefixes(levels: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [prefix(labelled_runs(np.frombuffer(words, dtype=np.uint32)), levels, least) for words in batch.column(2).to_pylist()]
+            if not firsts:
+                continue
+            sizes = np.array([len(first) for first, _ in firsts])
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            inner = place < np.repeat([n for _, n in firsts], sizes)
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            buckets = np.concatenate([first for first, _ in firsts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(inner)], names=_ENTRIES.names)
+
+    return run
+
+
+def _parts(wide: DataFrame, words: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The nodes of wide dealt anew: a bucket for each shingle of the prefixes of several of them.
+
+    Every two whose shingles are as similar as least share a bucket in which one of them is inner. Buckets without inner nodes, or of one component only, have
+    nothing to look at, and of those with the same nodes one is enough.
+    """
+    members = wide.select("node", "n_words", "meets").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    texts = materialize(members.join(words, "node"), "wide-texts")
+    entries = materialize(texts.select("node", "component", "words").mapInArrow(_prefixes(_levels(texts), least), _ENTRIES), "prefixes")
+    groups = entries.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", "inner")).alias("nodes"), F.bool_or("inner").alias("any"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    groups = materialize(groups.where("any AND low <> high").groupBy("size", "nodes").agg(F.min("bucket").alias("bucket")).select("bucket"), "parts")
+    rows = entries.join(groups, "bucket").join(texts.select("node", "n_words", "meets"), "node")
+    return rows.select("bucket", "node", "n_words", "meets", F.lit(0).alias("at"), F.lit(True).alias("part"), "inner", F.lit(False).alias("starred"))
 
 
 def _classes(docs: DataFrame, least: float, small: int = SMALL, leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
@@ -397,8 +474,8 @@ def _classes(docs: DataFrame, least: float, small: int = SMALL, leaders: int = L
     meets = materialize(met.groupBy("node").agg(F.sum("size").alias("meets")), "meets")
     marks = materialize(bands.join(meets.select("node"), "node", "left_semi").select("node", "marks"), "marks")
     words = _word_table(keyed, nodes, meets)
-    # moved: how many sketches beyond its first one a bucket has been split by
-    open_ = met.join(meets, "node").select("bucket", "node", "n_words", "meets", "at", F.lit(0).alias("moved"), F.lit(False).alias("starred"))
+    open_ = met.join(meets, "node").select("bucket", "node", "n_words", "meets", "at", F.lit(False).alias("part"), F.lit(True).alias("inner"), F.lit(False).alias("starred"))
+    columns = ("bucket", "node", "n_words", "meets", "at", "part", "inner")
     labels = None
     while True:
         component = F.col("node")
@@ -406,19 +483,20 @@ def _classes(docs: DataFrame, least: float, small: int = SMALL, leaders: int = L
             open_ = open_.join(labels, "node", "left")
             component = F.coalesce("component", "node")
         open_ = materialize(open_.withColumn("component", component), "members")
-        parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("meets", "node")).alias("star"))
-        state = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.max("star").alias("star"))
-        state = state.where(F.col("n") > F.col("top.n")).select("bucket", "n", (F.col("n") - F.col("top.n")).alias("rest"), F.col("top.component").alias("top"), F.col("star.node").alias("star"))
+        parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("inner").alias("inners"), F.max(F.struct("meets", "node")).alias("star"))
+        state = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("inners").alias("inners"), F.max(F.struct("n", "component")).alias("top"), F.max("star").alias("star"))
+        state = state.where(F.col("n") > F.col("top.n")).select("bucket", "n", "inners", (F.col("n") - F.col("top.n")).alias("rest"), F.col("top.component").alias("top"), F.col("star.node").alias("star"))
         here = materialize(open_.join(state, "bucket"), "open-members")
         if here.isEmpty():
             break
-        wide = F.col("starred") & (F.col("n") > small) & (F.col("rest") > leaders) & (F.col("moved") < SKETCHES - 1)
+        wide = F.col("starred") & (F.col("n") > small) & (F.col("rest") > leaders) & ~F.col("part")
         pairs = materialize(_dealt(here.where(~wide), marks, least, small, leaders), "pairs")
         joined = pairs.join(words.toDF("a", "a_words").hint("merge"), "a").join(words.toDF("b", "b_words").hint("merge"), "b").select("a", "b", "a_words", "b_words")
         labels = extended(labels, materialize(joined.mapInArrow(_verifier(least), _LINKS), "links"))
-        columns = ("bucket", "node", "n_words", "meets", "at", "moved")
-        again = here.where(~wide & ~F.col("starred") & (F.col("n") > small)).select(*columns, F.lit(True).alias("starred"))
-        open_ = again.unionAll(_split(here.where(wide).select(*columns), bands).select(*again.columns))
+        open_ = here.where(~F.col("starred") & (F.col("n") > small)).select(*columns, F.lit(True).alias("starred"))
+        rest = here.where(wide)
+        if not rest.isEmpty():
+            open_ = open_.unionAll(_parts(rest, words, labels, least))
     out = sketched.select("id", "node")
     if labels is not None:
         labels = labels.select(F.col("node").alias("l_node"), "component")

@@ -140,6 +140,69 @@ def test_classes_equal_all_pairs_with_large_buckets(spark, leaders):
     assert {frozenset(g) for g in got.values()} == classes_by_hand(texts)
 
 
+def classes(spark, texts, **limits):
+    got = defaultdict(set)
+    for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **limits).collect():
+        got[r.class_id].add(r.doc_id)
+    return {frozenset(g) for g in got.values()}
+
+
+def test_a_pair_that_meets_in_one_wide_bucket_only(spark):
+    """It shares one of the 24 sketches, with more texts than may lead."""
+    import pyarrow as pa
+
+    rng = random.Random(75747)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(95)]
+    other = list(base)
+    other[rng.randrange(8, 40)], other[rng.randrange(50, 85)] = "x", "y"
+    tries = []
+    for _ in range(400):
+        at = rng.randrange(60)
+        tries.append([*base[:at], *(f"v{rng.randrange(10**6)}" for _ in range(35)), *base[at + 35 :]])
+    texts = [" ".join(t) for t in (base, other, *tries)]
+    bands = np.array([b for _, _, own, _ in nd.sketch_texts(pa.array(texts)) for b in own])
+    (shared,) = np.flatnonzero(bands[0] == bands[1])
+    texts = [t for t, b in zip(texts, bands, strict=True) if b[shared] == bands[0, shared]]
+    assert len(texts) >= 12
+    by_hand = classes_by_hand(texts)
+    assert frozenset({0, 1}) in by_hand and len(by_hand) == len(texts) - 1
+    assert classes(spark, texts, small=2, leaders=3) == by_hand
+
+
+def test_parts_with_more_leaders_than_a_block(spark):
+    """The same passages in other orders share nearly all shingles, and most aren't linked."""
+    rng = random.Random(3)
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
+    orders = [rng.sample(passages, 4) for _ in range(24)]
+    texts = [" ".join(edited([w for p in own for w in p], rng.randint(0, 2), rng)) for own in orders]
+    by_hand = classes_by_hand(texts)
+    assert 4 < len(by_hand) < len(texts)
+    assert classes(spark, texts, small=2, leaders=3) == by_hand
+
+
+def test_prefixes_of_similar_texts_meet():
+    """Whatever the order of shingles, one that both prefixes hold is an inner one of the smaller text."""
+    rng = random.Random(4)
+    similar = 0
+    orders = [np.random.default_rng(i).integers(0, 4, 1 << nd.LEVEL_BITS).astype(np.uint8) for i in range(3)]
+    for _ in range(3000):
+        base = [rng.randrange(rng.choice((3, 10**6))) for _ in range(rng.randint(5, 120))]
+        other = list(base)
+        for _ in range(rng.randint(0, 3)):
+            other[rng.randrange(len(other))] = rng.randrange(10**6)
+        other += [rng.randrange(10**6) for _ in range(rng.randint(0, len(base) // 4))]
+        a, b = (nd.labelled_runs(np.array(w, dtype=np.uint32)) for w in (base, other))
+        both = len(np.intersect1d(a, b))
+        assert both == len(shingles(base) & shingles(other))
+        if both < 0.8 * (len(a) + len(b) - both):
+            continue
+        similar += 1
+        levels = rng.choice(orders)
+        (small, inner), (large, _) = (nd.prefix(x, levels, 0.8) for x in sorted((a, b), key=len))
+        assert set(small[:inner].tolist()) & set(large.tolist())
+    assert similar > 500
+
+
 def test_signatures_let_similar_pairs_through():
     """Over sizes and edits, no pair of similarity 0.8 or more is held back, and far pairs are."""
     import pyarrow as pa
